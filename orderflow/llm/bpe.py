@@ -32,7 +32,7 @@ WIDTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 128, 256)
 #: Cells of one matrix.
 CELLS = 2_000_000
 #: Characters that are encoded at once.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 
 
 class PairTable:

@@ -41,7 +41,7 @@ class SegmentCache:
     characters and starts anew when it is full; it changes no result.
     """
 
-    def __init__(self, encode: Callable[[str], np.ndarray], sizes: np.ndarray, entries: int = 500_000, longest: int = 64):
+    def __init__(self, encode: Callable[[str], np.ndarray], sizes: np.ndarray, entries: int = 300_000, longest: int = 64):
         self.encode, self.sizes, self.entries, self.longest = encode, sizes, entries, longest
         self.known: dict[str, bytes] = {}
 
