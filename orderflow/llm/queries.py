@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neighbours, packing, quality, sharding, simhash
+from . import bpe, language, neighbours, packing, quality, sharding, simhash, urls
 from .common import table
 
 
@@ -22,6 +22,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    urls.UrlRule("org", "/", "allow"),
+    urls.UrlRule("example.org", "/es/", "block"),
+    urls.UrlRule("example.org", "/en/1", "block"),
+    urls.UrlRule("com", "/fr/", "allow"),
+    urls.UrlRule("com", "/de/", "block"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' verdicts are the labels from which the templates of other pages are judged."""
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language.fit(docs.where(F.coalesce(remainder(4), F.lit(-1)) != 2))
@@ -72,6 +87,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_url_filters": op2_url_filters,
     "op3_language_id": op3_language_id,
     "op6_neighbours": op6_neighbours,
     "op7_simhash": op7_simhash,
