@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neighbours, packing, quality, sharding, simhash, urls
+from . import bpe, language, neighbours, packing, quality, sharding, simhash, transcripts, urls
 from .common import table
 
 
@@ -45,6 +45,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.col("lang_rejected").alias("rejected"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from conversations whose crc32(conv_id as text) mod 5 is not 2; predicts the roles of all from their texts."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fold = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    model = transcripts.fit(turns.where(~held_out))
+    parsed = transcripts.parse(turns, model).withColumnsRenamed({"key": "conv_id", "part": "turn"})
+    return parsed.select("conv_id", "turn", held_out.alias("held_out"), "role_pred", "turn_text")
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("key") % 20 == 0)
 
@@ -89,6 +99,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
     "op3_language_id": op3_language_id,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_neighbours": op6_neighbours,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
