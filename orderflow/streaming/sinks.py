@@ -67,7 +67,7 @@ class ParquetTable:
 
     def _pointer(self):
         jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def state(self) -> tuple[str | None, int]:
