@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neighbours, packing, quality, sharding, simhash, transcripts, urls
+from . import bpe, language, neighbours, ngrams, packing, quality, sharding, simhash, transcripts, urls
 from .common import table
 
 
@@ -45,6 +45,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.col("lang_rejected").alias("rejected"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder(7) == 2, F.lit(False))
+    scored = ngrams.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from conversations whose crc32(conv_id as text) mod 5 is not 2; predicts the roles of all from their texts."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -99,6 +105,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
     "op3_language_id": op3_language_id,
+    "op4_language_model": op4_language_model,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_neighbours": op6_neighbours,
     "op7_simhash": op7_simhash,
