@@ -81,8 +81,7 @@ def templates(counts: DataFrame) -> DataFrame:
         node = branch.groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         a, b = F.col("labelled") + 2, F.col("all_labelled") - F.col("labelled") + 2
         p, q = (F.col("bad") + 1) / a, (F.col("all_bad") - F.col("bad") + 1) / b
-        pooled = (F.col("all_bad") + 2) / (F.col("all_labelled") + 4)
-        z = F.abs(p - q) / F.sqrt(pooled * (1 - pooled) * (1 / a + 1 / b))
+        z = F.abs(p - q) / F.sqrt(p * (1 - p) / (a + 1) + q * (1 - q) / (b + 1))  # the spreads of both shares, wide where few are labelled
         own = (F.col("n") >= SUPPORT) & (z >= CRITICAL)
         kept = branch.join(node, ["host", "template"]).where(own).select("host", "template", "seg", F.lit(True).alias("own"))
         step = F.concat(F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise(F.lit(ANY)))
