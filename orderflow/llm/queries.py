@@ -113,4 +113,44 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def quality_sql() -> str:
+    """The quality rules in SQL, from the same table of thresholds."""
+    ratios = {
+        "mean_word_length": ("word_chars", "n_words"),
+        "symbol_ratio": ("n_symbols", "word_chars"),
+        "repeat_word_ratio": ("n_repeat_words", "n_words"),
+        "stop_word_ratio": ("stops", "n_words"),
+        "number_word_ratio": ("numbers", "n_words"),
+        "dup_line_ratio": ("n_dup_lines", "n_lines"),
+        "bullet_line_ratio": ("bullets", "n_lines"),
+        "ellipsis_line_ratio": ("ellipses", "n_lines"),
+    }
+    tests = []
+    for r in quality.RULES:
+        a, b = ratios.get(r.measure, (r.measure, None))
+        value = f"(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END)" if b else a
+        bad = " OR ".join([f"{value} < {r.low}"] * (r.low is not None) + [f"{value} > {r.high}"] * (r.high is not None))
+        tests.append(f"CASE WHEN {bad} THEN '{r.measure}' END")
+    stops = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^ 	-]+') AS l FROM d)),
+g AS (SELECT doc_id, i, word, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, b, c) AS n FROM g WHERE c IS NOT NULL) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+wc AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, count(*) FILTER (WHERE word IN ({stops})) AS stops,
+  count(*) FILTER (WHERE word >= '0' AND word < ':') AS numbers FROM w GROUP BY 1),
+x AS (SELECT * FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]')),
+lc AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE regexp_matches(line, '^ *[*•-]')) AS bullets,
+  count(*) FILTER (WHERE regexp_matches(line, '([.][.][.]|…) *$')) AS ellipses FROM x GROUP BY 1),
+m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(stops, 0) AS stops, coalesce(numbers, 0) AS numbers,
+  coalesce(n_lines, 0) AS n_lines, coalesce(bullets, 0) AS bullets, coalesce(ellipses, 0) AS ellipses
+  FROM d LEFT JOIN wc USING (doc_id) LEFT JOIN lc USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {", ".join(tests)}) AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f"""
+
+
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_sql()}
