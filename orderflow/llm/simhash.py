@@ -1,12 +1,12 @@
 """Near copies by SimHash and vantage-point trees.
 
 A fingerprint has 64 bits from the hashes of all word shingles. Two fingerprints
-link if they differ in at most ``RADIUS`` bits; then one of their 32-bit halves
-differs in at most ``RADIUS // 2`` bits. So there is a vantage-point tree for each
-half. A tree's inner nodes hold a vantage point and a radius; they come from a
+link if they differ in at most ``radius`` bits; then of ``blocks`` blocks of bits one
+differs in at most ``radius // blocks``. So there is a vantage-point tree for each
+block. A tree's inner nodes hold a vantage point and a radius; they come from a
 bounded sample of fingerprints, and every fingerprint descends to the leaf of its
 own, its shard. By the triangle inequality a linked pair that a node separates lies
-within the half's radius of the node's boundary: fingerprints there also visit the
+within the block's radius of the node's boundary: fingerprints there also visit the
 other side. Leaves compare their own fingerprints with all that are in them, exactly
 over all 64 bits.
 
@@ -15,6 +15,9 @@ fingerprints is dealt in blocks of its own rows times chunks of all its rows, so
 task holds at most HOME + MEMBERS of them whatever the leaf's size. A group of pairs
 that is large is replaced by a tree with the same components.
 
+For wide radii, where unrelated texts come near by chance, links of more than
+``SURE`` bits can be confirmed by the least hashes of the texts' five-word shingles.
+
 Defined cases: a null or empty text has fingerprint zero and links like any other;
 repeated rows belong to the same component; a null key never names a component
 unless it has no other; an empty table gives an empty table. Only the key and text
@@ -35,7 +38,9 @@ from pyspark.sql import types as T
 
 from .common import saved
 
-SHINGLE, RADIUS, SEED = 3, 3, 42
+SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 2, 42
+#: Links up to SURE bits need no confirming; others need this share of SKETCH least hashes of SKETCH_SHINGLE words.
+SURE, SKETCH, SKETCH_SHINGLE, SHARED = 3, 16, 5, 0.5
 #: Fingerprints sampled to place the trees' nodes: SAMPLE at least, one in SAMPLE_SHARE, MOST at most.
 SAMPLE, SAMPLE_SHARE, MOST = 1 << 14, 1000, 1 << 20
 #: Fingerprints wanted in a leaf, and of a task's own and in all.
@@ -44,45 +49,58 @@ LEAF, HOME, MEMBERS = 1500, 4096, 1 << 15
 PAIRS = 100_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit i is set if it is set in over half of the shingles' XXH64 values; no words: 0."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+def hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words; of all words if there are fewer."""
     if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
     runs = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    n = len(words) - shingle + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64, count=n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64, count=len(words) - shingle + 1)
+
+
+def sketch(text: str | None) -> list[int]:
+    """The least hashes of the text's five-word shingles."""
+    return np.unique(hashes((text or "").encode().lower().split(), SKETCH_SHINGLE))[:SKETCH].view(np.int64).tolist()
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bit i is set if it is set in over half of the shingles' XXH64 values; no words: 0."""
+    h = hashes((text or "").encode().lower().split(), shingle)
+    n = len(h)
+    if n < 2:
+        return int(h[0]) if n else 0
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, n, 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """key and ``fp``, the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sketched: bool = False) -> DataFrame:
+    """key, ``fp`` (the fingerprint as a signed long) and, if asked for, ``sketch``."""
     given = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([given.schema["key"], T.StructField("fp", T.LongType(), False)])
+    schema = T.StructType([given.schema["key"], T.StructField("fp", T.LongType(), False), *[T.StructField("sketch", T.ArrayType(T.LongType()))] * sketched])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["key", "fp"])
+            texts = b.column(1).to_pylist()
+            found = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
+            more = [pa.array([sketch(t) for t in texts], pa.list_(pa.int64()))] if sketched else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), *more], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
 
-def half(fps: np.ndarray, tree: int) -> np.ndarray:
-    return ((fps >> np.uint64(32)) if tree == 0 else (fps & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+def block(fps: np.ndarray, tree: int, blocks: int) -> np.ndarray:
+    """The bits of a fingerprint that a tree looks at."""
+    low, high = 64 * tree // blocks, 64 * (tree + 1) // blocks
+    return ((fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.uint64)
 
 
-def grow(sample: np.ndarray, leaves: int, radius: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A tree for each half: vantage point, boundary and first child of each node (0: a leaf)."""
+def grow(sample: np.ndarray, blocks: int, leaves: int, radius: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A tree for each block: vantage point, boundary and first child of each node (0: a leaf)."""
     trees, rng = [], np.random.default_rng(0)
-    for tree in (0, 1):
+    for tree in range(blocks):
         point, bound, child = [0], [0], [0]
-        queue = [(0, np.unique(half(sample, tree)), leaves)]
+        queue = [(0, np.unique(block(sample, tree, blocks)), leaves)]
         while queue:
             node, x, want = queue.pop()
             if want < 2 or len(x) < 8:
@@ -101,12 +119,12 @@ def grow(sample: np.ndarray, leaves: int, radius: int) -> list[tuple[np.ndarray,
             for k, part in enumerate((x[best[3]], x[~best[3]])):
                 point.append(0), bound.append(0), child.append(0)
                 queue.append((child[node] + k, part, max(1, round(want * len(part) / len(x)))))
-        trees.append((np.array(point, dtype=np.uint32), np.array(bound, dtype=np.int16), np.array(child, dtype=np.int32)))
+        trees.append((np.array(point, dtype=np.uint64), np.array(bound, dtype=np.int16), np.array(child, dtype=np.int32)))
     return trees
 
 
 def descend(x: np.ndarray, tree: tuple, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, leaf and whether it is the row's own leaf, for every leaf a half-fingerprint stands in.
+    """Row, leaf and whether it is the row's own leaf, for every leaf a fingerprint stands in.
 
     At a node an own row goes to its side; if it is outside and within ``radius`` of
     the boundary it visits the inside, too, where its partners are their own rows. A
@@ -168,7 +186,7 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Pairs (a, b) of fingerprints within ``radius`` whose components are those of all such pairs.
 
     ``distinct`` has one row for each fingerprint, in ``fp``.
@@ -176,18 +194,18 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     n = distinct.count()
     size = min(MOST, max(SAMPLE, n // SAMPLE_SHARE))
     sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], dtype=np.int64).view(np.uint64)
-    reach = radius // 2
-    trees = grow(sample, max(1, n // LEAF), reach)
+    reach = radius // blocks
+    trees = grow(sample, blocks, max(1, n * blocks // (2 * LEAF)), reach)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False)
-            for t in (0, 1):
-                row, leaf, own = descend(half(fps.view(np.uint64), t), trees[t], reach)
-                yield pa.RecordBatch.from_arrays([pa.array(fps[row]), pa.array(leaf.astype(np.int32) * 2 + t), pa.array(own)], names=["fp", "leaf", "own"])
+            for t in range(blocks):
+                row, leaf, own = descend(block(fps.view(np.uint64), t, blocks), trees[t], reach)
+                yield pa.RecordBatch.from_arrays([pa.array(fps[row]), pa.array(leaf.astype(np.int32) * blocks + t), pa.array(own)], names=["fp", "leaf", "own"])
 
     placed = saved(distinct.select("fp").mapInArrow(place, "fp long, leaf int, own boolean"))
-    # The leaves' sizes: as many rows as the trees have leaves, at most 2 * MOST / 8.
+    # The leaves' sizes: as many rows as the trees have leaves, at most blocks * MOST / 4.
     sizes = placed.groupBy("leaf").agg(F.sum(F.col("own").cast("int")).alias("home"), F.count("*").alias("members"))
     sizes = sizes.select("leaf", F.ceil(F.col("home") / HOME).cast("int").alias("b"), F.ceil(F.col("members") / MEMBERS).cast("int").alias("c"))
     rows = placed.join(F.broadcast(sizes.where("b > 0")), "leaf").withColumn("h", F.xxhash64("fp"))
@@ -227,11 +245,21 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def confirmed(edges: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The links of up to SURE bits, and those whose sketches share enough."""
+    of = lambda x: distinct.select(F.col("fp").alias(x), F.col("sketch").alias(f"{x}_sketch"))
+    wide = edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > SURE).distinct().join(of("a"), "a").join(of("b"), "b")
+    same = F.size(F.array_intersect("a_sketch", "b_sketch")) >= SHARED * F.least(F.size("a_sketch"), F.size("b_sketch"))
+    sure = edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= SURE)
+    return sure.unionByName(wide.where(same).select("a", "b"))
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, confirm: bool = False) -> DataFrame:
     """key, ``fp`` and ``component_id`` (the least key reachable over links) of each row."""
-    prints = saved(fingerprints(df, key, text, shingle))
-    distinct = saved(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    found = components(links(distinct, radius))
+    prints = saved(fingerprints(df, key, text, shingle, confirm))
+    distinct = saved(prints.groupBy("fp").agg(F.min("key").alias("least"), *[F.min("sketch").alias("sketch")] * confirm))
+    edges = links(distinct, radius, blocks)
+    found = components(confirmed(saved(edges), distinct) if confirm else edges)
     classed = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
     named = classed.groupBy("class").agg(F.min("least").alias("component_id"))
     of = classed.join(named, "class").select("fp", "component_id")

@@ -299,6 +299,47 @@ def test_trees_find_every_link(spark, monkeypatch, leaf, home, members, pairs):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def brute_groups(texts):
+    """Components of the pipeline's links: near fingerprints, confirmed by shared shingles."""
+    ids = sorted(texts)
+    prints = {i: brute_print(texts[i]) for i in ids}
+    least = {}
+    for i in ids:
+        words = re.findall(SPACE, lower(texts[i]))
+        runs = [" ".join(words[k : k + 5]) for k in range(len(words) - 4)] or ([" ".join(words)] if words else [])
+        least[i] = set(sorted({xxhash.xxh64_intdigest(r.encode(), 42) for r in runs})[: simhash.SKETCH])
+    of = dict(zip(ids, ids, strict=True))
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if b >= a:
+                break
+            d = (prints[a] ^ prints[b]).bit_count()
+            if d <= 3 or d <= corpus_pipeline.RADIUS and len(least[a] & least[b]) >= simhash.SHARED * min(len(least[a]), len(least[b])):
+                x, y = find(a), find(b)
+                of[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_wide_links_are_confirmed(spark, given):
+    rng = random.Random(5)
+    texts = [t for t in given.values() if len(t.split()) > 50][:60]
+    for t in texts[:20]:
+        words = t.split()
+        for k in rng.sample(range(len(words)), max(1, len(words) // 60)):
+            words[k] = "changed"
+        texts.append(" ".join(words))
+    out = simhash.near_copies(docs(spark, texts), radius=corpus_pipeline.RADIUS, blocks=corpus_pipeline.BLOCKS, confirm=True).collect()
+    want = brute_groups(dict(enumerate(texts)))
+    assert {r["doc_id"]: r["component_id"] for r in out} == want
+    assert sum(want[60 + i] == want[i] for i in range(20)) >= 17
+
+
 def test_near_copies_of_nothing(spark):
     assert simhash.near_copies(docs(spark, ["a"]).where("false")).collect() == []
 
@@ -397,8 +438,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         texts = {r["doc_id"]: r["text"] for r in before.collect()}
         kept = {r["doc_id"] for r in after.collect()}
         if name == "simhash_near_dedup":
-            ids = sorted(texts)
-            assert kept == set(brute_components(ids, [brute_print(texts[i]) for i in ids]).values())
+            assert kept == set(brute_groups(texts).values())
         if name == "packing":
             assert kept == set(texts)
         else:
