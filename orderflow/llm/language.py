@@ -31,7 +31,7 @@ from .common import fresh
 
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 48, 1000, 256
 #: Characters of a piece, compression level, and the least share of bytes by which the best must beat the second.
-PIECE, LEVEL, MARGIN = 2000, 3, 0.005
+PIECE, LEVEL, MARGIN = 2000, 9, 0.005
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _NOISE = re.compile(r"[\W\d_]+")
