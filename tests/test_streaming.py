@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from orderflow import sources
 from orderflow.functions import parse as p
-from orderflow.operators import cep, logs, triggers, windows
-from orderflow.streaming import sinks, stateful
+from orderflow.operators import cep, logs, ranking, triggers, windows
+from orderflow.streaming import aggregates, sinks, stateful
 from tests.test_operators import log, order, raw
 
 FAR = 4_000_000_000_000
@@ -98,3 +98,25 @@ def test_restart_from_checkpoint_upserts_once(spark, tmp_path):
     start()
     start()
     assert sorted((r["orderID"], r["fee"]) for r in table.read().collect()) == [("O1", 7), ("O2", 1)]
+
+
+def test_chained_ranks_equal_batch(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    rows = [order(f"{i:03}", 1 + 900 * i, fee=i % 7, product_id=f"P{i % 2}") for i in range(60)]
+    files(src, rows[:25], rows[25:], [order(999, FAR)])
+    got = run(spark, aggregates.top_per_key(orders_of(stream(spark, src)), "10 seconds", "30 seconds", 2), tmp_path)
+    names = ["window2", "productID", "traffic", "startWindowTime", "endWindowTime", "orders", "totalFee", "rank"]
+    want = ranking.top_per_key(windows.product_traffic(orders_of(raw(spark, *rows))), 30_000, 2).select(*names)
+    assert sorted(got) == sorted(tuple(r) for r in want.collect())
+
+
+def test_totals_are_shown_again_in_update_mode(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    rows = [order(f"{i:03}", 1 + 1000 * i, user=f"u{i % 3}", fee=i) for i in range(10)]
+    files(src, rows[:4], rows[4:])
+    got = run(spark, aggregates.stat_time(orders_of(stream(spark, src))), tmp_path, "update")
+    assert sorted(r[3:] for r in got) == [(4, 3, 6), (10, 3, 45)]
+    last = triggers.stat_time(orders_of(raw(spark, *rows)), 60_000).first()
+    assert (last["orders"], last["users"], last["totalFee"], last["startWindowTime"]) == (*sorted(got)[-1][3:], got[0][2])
