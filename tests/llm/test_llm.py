@@ -454,3 +454,10 @@ def test_pipeline_edges(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.where("false"), DIR).collect() == []
         stage(spark, df.unionByName(df), DIR).collect()
+
+
+def test_documents_without_id_are_kept_once_for_each_group(spark, given):
+    texts = [t for t in given.values() if len(t.split()) > 50][:4]
+    df = spark.createDataFrame([(None, texts[0], "en", "s", 1), (None, texts[0], "en", "s", 1), (None, texts[1], "en", "s", 1), (None, texts[2], "en", "s", 1), (7, texts[2], "en", "s", 1), (7, texts[2], "en", "s", 1), (8, texts[3], "en", "s", 1)], DOCS)
+    out = corpus_pipeline.simhash_near_dedup(spark, df, DIR).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out) == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("8", texts[3])])
