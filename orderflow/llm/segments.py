@@ -38,18 +38,23 @@ class SegmentCache:
     ``encode`` gives the ids of one string, ``sizes[id]`` a token's bytes. Segments
     not seen before are encoded in one string; the tokens' sizes tell where each
     ends. The cache keeps at most ``entries`` segments of up to ``longest``
-    characters and starts anew when it is full; it changes no result.
+    characters in two halves: when the newer is full it becomes the older, and what is
+    used again moves back. It changes no result.
     """
 
     def __init__(self, encode: Callable[[str], np.ndarray], sizes: np.ndarray, entries: int = 300_000, longest: int = 64):
         self.encode, self.sizes, self.entries, self.longest = encode, sizes, entries, longest
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.entries:
-            self.known.clear()
-        known, cut = self.known, [segments(t) for t in texts]
-        new = list({s for _, rest in cut for s in rest if s not in known})
+        if len(self.known) > self.entries // 2:
+            self.known, self.older = {}, self.known
+        known, older, cut = self.known, self.older, [segments(t) for t in texts]
+        missing = {s for _, rest in cut for s in rest if s not in known}
+        again = missing & older.keys()
+        known.update((s, older[s]) for s in again)
+        new = list(missing - again)
         known.update(zip(new, self._each(new, " "), strict=True))
         whole = {h for h, _ in cut}
         plain = [h for h in whole if h and not h[0].isspace()]
