@@ -141,11 +141,16 @@ def failures(m: Column, rules=RULES) -> Column:
 
 
 def judge(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """``df`` with ``measures`` (a struct), ``failed_rules`` and ``kept``."""
+    """``df`` with ``measures`` (a struct), ``failed_rules`` and ``kept``.
+
+    Measures and failures are one expression, so that a filter on ``kept`` evaluates
+    the measures once and not for every rule.
+    """
     outs = ("measures", "failed_rules", "kept")
-    df = df.drop(*(c for c in df.columns if c.lower() in outs and c != text))
-    m = fresh(df, "m")
-    out = df.withColumn(m, measures(F.col(text)))
-    failed = failures(F.col(m), rules)
+    df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in outs or c == text])
     names = [F.col(f"`{c}`") for c in df.columns if c.lower() not in outs]
-    return out.select(*names, F.col(m).alias("measures"), failed.alias("failed_rules"), (F.size(failed) == 0).alias("kept"))
+    m = fresh(df, "m")
+    both = let(measures(F.col(f"`{text}`")), lambda x: F.struct(x.alias("measures"), failures(x, rules).alias("failed")))
+    judged = F.col(m)
+    out = df.withColumn(m, both)
+    return out.select(*names, judged["measures"].alias("measures"), judged["failed"].alias("failed_rules"), (F.size(judged["failed"]) == 0).alias("kept"))
