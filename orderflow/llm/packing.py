@@ -50,7 +50,7 @@ def tokenizer(path: str) -> SegmentCache:
         sizes = np.zeros(max(known.values()) + 1, dtype=np.int64)
         for token, i in known.items():
             sizes[i] = len(token)
-        _cache[path] = SegmentCache(lambda s: np.array(t.encode(s, add_special_tokens=False).ids, dtype=np.int32), sizes)
+        _cache[path] = SegmentCache(lambda s: np.array(t.encode_batch_fast([s], add_special_tokens=False)[0].ids, dtype=np.int32), sizes)
     return _cache[path]
 
 
