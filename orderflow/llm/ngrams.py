@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .common import saved
 
 #: Tokens of a chunk, text bytes for each bucket, buckets of a frequent context, and the least share that makes one.
-CHUNK, BUCKET_BYTES, SPREAD, LEAST_SHARE = 2_000_000, 24_000_000, 64, 1 / 20_000
+CHUNK, BUCKET_BYTES, SPREAD, LEAST_SHARE = 2_000_000, 12_000_000, 64, 1 / 20_000
 #: Good-Turing discounts counts up to this.
 K = 5
 END, START = 0, 1  # a chunk's own numbers of the two marks; words follow
