@@ -12,11 +12,13 @@ over all 64 bits.
 
 Exact copies share a fingerprint and are compared once. A leaf with many
 fingerprints is dealt in blocks of its own rows times chunks of all its rows, so a
-task holds at most HOME + MEMBERS of them whatever the leaf's size. A group of pairs
-that is large is replaced by a tree with the same components.
+task holds at most HOME + MEMBERS of them whatever the leaf's size. Where a task finds
+more links than it has fingerprints, it returns a spanning forest of them, which has the
+same components, so a dense group gives no more links than it has members.
 
 For wide radii, where unrelated texts come near by chance, links of more than
-``SURE`` bits can be confirmed by the least hashes of the texts' five-word shingles.
+``SURE`` bits can be confirmed by the least hashes of the texts' five-word shingles. A
+dense group's forest prefers links of few bits, which need no confirming.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other;
 repeated rows belong to the same component; a null key never names a component
@@ -45,7 +47,7 @@ SURE, SKETCH, SKETCH_SHINGLE, SHARED = 3, 16, 5, 0.5
 SAMPLE, SAMPLE_SHARE, MOST = 1 << 14, 1000, 1 << 20
 #: Fingerprints wanted in a leaf, and of a task's own and in all.
 LEAF, HOME, MEMBERS = 1500, 4096, 1 << 15
-#: Pairs of a task beyond which only a spanning tree of them is kept.
+#: Pairs that a task holds before it reduces them to a spanning forest.
 PAIRS = 100_000
 
 
@@ -149,38 +151,54 @@ def descend(x: np.ndarray, tree: tuple, radius: int) -> tuple[np.ndarray, np.nda
 
 
 def near(own: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of different fingerprints; if there are many, a spanning forest of them."""
-    found, many = [], 0
-    step = max(1, (1 << 21) // max(1, len(others)))
+    """Linked pairs of different fingerprints; if there are more than fingerprints, a least spanning forest of them.
+
+    Every pair returned is a link. The forest takes the links of fewest bits first.
+    """
     every = np.unique(np.concatenate([own, others]))
-    label = np.arange(len(every))
+    step = max(1, (1 << 21) // max(1, len(others)))
+    a, b, most = own[:0], own[:0], max(PAIRS, 4 * len(every))
     for k in range(0, len(own), step):
         part = own[k : k + step]
         i, j = np.nonzero(np.bitwise_count(part[:, None] ^ others[None, :]) <= radius)
-        a, b = part[i], others[j]
-        a, b = a[a != b], b[a != b]
-        many += len(a)
-        found.append((a, b))
-        if many > PAIRS:
-            a, b = (np.concatenate(p) for p in zip(*found, strict=True))
-            label = merged(label, np.searchsorted(every, a), np.searchsorted(every, b))
-            found, many = [], 0
-    a, b = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (own[:0], own[:0])
-    tree = np.flatnonzero(label != np.arange(len(every)))
-    return np.concatenate([a, every[tree]]), np.concatenate([b, every[label[tree]]])
+        x, y = part[i], others[j]
+        other = x != y
+        a, b = np.concatenate([a, x[other]]), np.concatenate([b, y[other]])
+        if len(a) > most:
+            a, b = spanning(every, a, b)
+    return spanning(every, a, b) if len(a) >= len(every) else (a, b)
+
+
+def spanning(every: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boruvka's forest: in each round every component takes its link of fewest bits to another one."""
+    order = np.argsort(np.bitwise_count(a ^ b), kind="stable")
+    a, b = a[order], b[order]
+    i, j = np.searchsorted(every, a), np.searchsorted(every, b)
+    label, kept = np.arange(len(every)), np.zeros(len(a), dtype=bool)
+    open_ = np.arange(len(a))
+    while len(open_):
+        x, y = label[i[open_]], label[j[open_]]
+        cross = x != y
+        open_, x, y = open_[cross], x[cross], y[cross]
+        if not len(open_):
+            break
+        _, first = np.unique(np.concatenate([x, y]), return_index=True)
+        taken = open_[np.unique(first % len(open_))]
+        kept[taken] = True
+        label = merged(label, i[taken], j[taken])
+    return a[kept], b[kept]
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least label of each component, with links a - b added to the components that ``label`` tells."""
     while True:
         low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        new = new[label] if len(new) == len(label) else new
-        while not np.array_equal(new, new[new]):
-            new = new[new]
+        root = np.arange(len(label))
+        np.minimum.at(root, label[a], low)
+        np.minimum.at(root, label[b], low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        new = root[label]
         if np.array_equal(new, label):
             return label
         label = new
