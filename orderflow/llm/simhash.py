@@ -16,9 +16,13 @@ task holds at most HOME + MEMBERS of them whatever the leaf's size. Where a task
 more links than it has fingerprints, it returns a spanning forest of them, which has the
 same components, so a dense group gives no more links than it has members.
 
-For wide radii, where unrelated texts come near by chance, links of more than
-``SURE`` bits can be confirmed by the least hashes of the texts' five-word shingles. A
-dense group's forest prefers links of few bits, which need no confirming.
+For wide radii, where unrelated texts come near by chance, links can be confirmed: two
+texts link if their five-word shingle sets have a Jaccard of ``SIMILAR`` or more. The
+nodes are then the different shingle sets. Leaves find candidates, pairs within the
+radius whose counts of shingles by ``BINS`` bins allow that Jaccard; the counts bound
+it from above, so no link is lost. A forest of the candidates tells only the clusters.
+In each cluster the whole shingle sets of all pairs are compared, in blocks of bounded
+size, so no pair hangs on a link that is rejected.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other;
 repeated rows belong to the same component; a null key never names a component
@@ -33,6 +37,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +46,12 @@ from pyspark.sql import types as T
 from .common import saved
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 2, 42
-#: Links up to SURE bits need no confirming; others need this share of SKETCH least hashes of SKETCH_SHINGLE words.
-SURE, SKETCH, SKETCH_SHINGLE, SHARED = 3, 16, 5, 0.5
+#: Confirmed links share SIMILAR (as a fraction) of their sets of shingles of SET_SHINGLE words; these are counted in BINS bins.
+SIMILAR, SET_SHINGLE, BINS = (4, 5), 5, 64
+#: Sets and hashes wanted in a block of a cluster; a task compares two blocks.
+SETS, HASHES = 512, 1 << 20
+#: The earlier rule's sketch, for tests: this share of SKETCH least hashes.
+SKETCH, SHARED = 16, 0.5
 #: Fingerprints sampled to place the trees' nodes: SAMPLE at least, one in SAMPLE_SHARE, MOST at most.
 SAMPLE, SAMPLE_SHARE, MOST = 1 << 14, 1000, 1 << 20
 #: Fingerprints wanted in a leaf, and of a task's own and in all.
@@ -59,9 +68,19 @@ def hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64, count=len(words) - shingle + 1)
 
 
-def sketch(text: str | None) -> list[int]:
-    """The least hashes of the text's five-word shingles."""
-    return np.unique(hashes((text or "").encode().lower().split(), SKETCH_SHINGLE))[:SKETCH].view(np.int64).tolist()
+def shingles(text: str | None) -> np.ndarray:
+    """The set of the text's five-word shingles, as sorted hashes."""
+    return np.unique(hashes((text or "").encode().lower().split(), SET_SHINGLE))
+
+
+def named(found: np.ndarray) -> int:
+    """The node of a shingle set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def counts(found: np.ndarray) -> bytes:
+    """Hashes in each bin, 255 at most: cut counts differ by no more than whole ones."""
+    return np.minimum(np.bincount((found % BINS).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -76,17 +95,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sketched: bool = False) -> DataFrame:
-    """key, ``fp`` (the fingerprint as a signed long) and, if asked for, ``sketch``."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sets: bool = False) -> DataFrame:
+    """key, ``fp`` (the fingerprint as a signed long) and, if asked for, ``node``, ``size`` and ``bins`` of the shingle set."""
     given = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([given.schema["key"], T.StructField("fp", T.LongType(), False), *[T.StructField("sketch", T.ArrayType(T.LongType()))] * sketched])
+    of_set = [T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bins", T.BinaryType())]
+    schema = T.StructType([given.schema["key"], T.StructField("fp", T.LongType(), False), *of_set * sets])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            found = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
-            more = [pa.array([sketch(t) for t in texts], pa.list_(pa.int64()))] if sketched else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), *more], names=schema.names)
+            prints, more = [], []
+            for t in b.column(1).to_pylist():
+                prints.append(fingerprint(t, shingle))
+                if sets:
+                    found = shingles(t)
+                    more.append((named(found), len(found), counts(found)))
+            columns = [pa.array([m[k] for m in more], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))] if sets else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), *columns], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -169,6 +193,34 @@ def near(own: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray,
     return spanning(every, a, b) if len(a) >= len(every) else (a, b)
 
 
+def candidates(own: tuple, others: tuple, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes within ``radius`` whose counts allow a link, or a spanning forest of them.
+
+    ``own`` and ``others`` hold fingerprint, node, size and counts of each row. If the
+    counts differ by d, the Jaccard is (sizes - d) / (sizes + d) at most.
+    """
+    (fp, node, size, bins), (o_fp, o_node, o_size, o_bins) = own, others
+    every = np.unique(np.concatenate([node, o_node]))
+    at, o_at, label = np.searchsorted(every, node), np.searchsorted(every, o_node), np.arange(len(every))
+    step = max(1, (1 << 21) // max(1, len(o_fp)))
+    a, b, most = node[:0], node[:0], max(PAIRS, 4 * len(every))
+    less, more = SIMILAR[1] - SIMILAR[0], SIMILAR[1] + SIMILAR[0]
+    for k in range(0, len(fp), step):
+        i, j = np.nonzero(np.bitwise_count(fp[k : k + step, None] ^ o_fp[None, :]) <= radius)
+        i += k
+        for m in range(0, len(i), 1 << 16):
+            x, y = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
+            apart = label[at[x]] != label[o_at[y]]
+            x, y = x[apart], y[apart]
+            d = np.abs(bins[x].astype(np.int16) - o_bins[y]).sum(1, dtype=np.int64)
+            allowed = more * d <= less * (size[x] + o_size[y])
+            a, b = np.concatenate([a, node[x[allowed]]]), np.concatenate([b, o_node[y[allowed]]])
+            if len(a) > most:
+                a, b = spanning(every, a, b)
+                label = merged(label, np.searchsorted(every, a), np.searchsorted(every, b))
+    return spanning(every, a, b) if len(a) >= len(every) else (a, b)
+
+
 def spanning(every: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Boruvka's forest: in each round every component takes its link of fewest bits to another one."""
     order = np.argsort(np.bitwise_count(a ^ b), kind="stable")
@@ -204,11 +256,14 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, sets: bool = False) -> DataFrame:
     """Pairs (a, b) of fingerprints within ``radius`` whose components are those of all such pairs.
 
-    ``distinct`` has one row for each fingerprint, in ``fp``.
+    ``distinct`` has one row for each fingerprint, in ``fp``. With ``sets`` it has one
+    for each node and fingerprint, and the pairs are candidates, of nodes.
     """
+    kept = ["fp", *["node", "size", "bins"] * sets]
+    name = "node" if sets else "fp"
     n = distinct.count()
     size = min(MOST, max(SAMPLE, n // SAMPLE_SHARE))
     sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], dtype=np.int64).view(np.uint64)
@@ -220,22 +275,27 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
             fps = b.column(0).to_numpy(zero_copy_only=False)
             for t in range(blocks):
                 row, leaf, own = descend(block(fps.view(np.uint64), t, blocks), trees[t], reach)
-                yield pa.RecordBatch.from_arrays([pa.array(fps[row]), pa.array(leaf.astype(np.int32) * blocks + t), pa.array(own)], names=["fp", "leaf", "own"])
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(row)).columns, pa.array(leaf.astype(np.int32) * blocks + t), pa.array(own)], names=[*kept, "leaf", "own"])
 
-    placed = saved(distinct.select("fp").mapInArrow(place, "fp long, leaf int, own boolean"))
+    placed = saved(distinct.select(*kept).mapInArrow(place, f"fp long, {'node long, size long, bins binary, ' * sets}leaf int, own boolean"))
     # The leaves' sizes: as many rows as the trees have leaves, at most blocks * MOST / 4.
     sizes = placed.groupBy("leaf").agg(F.sum(F.col("own").cast("int")).alias("home"), F.count("*").alias("members"))
     sizes = sizes.select("leaf", F.ceil(F.col("home") / HOME).cast("int").alias("b"), F.ceil(F.col("members") / MEMBERS).cast("int").alias("c"))
-    rows = placed.join(F.broadcast(sizes.where("b > 0")), "leaf").withColumn("h", F.xxhash64("fp"))
+    rows = placed.join(F.broadcast(sizes.where("b > 0")), "leaf").withColumn("h", F.xxhash64(name))
     every_own, every_other = F.sequence(F.lit(0), F.col("b") - 1), F.sequence(F.lit(0), F.col("c") - 1)
     mine, chunk = F.pmod("h", F.col("b")).cast("int"), F.pmod(F.shiftright("h", 20), F.col("c")).cast("int")
     as_own = F.transform(every_other, lambda j: F.struct(mine.alias("i"), j.alias("j"), F.lit(True).alias("own")))
     as_other = F.transform(every_own, lambda i: F.struct(i.alias("i"), chunk.alias("j"), F.lit(False).alias("own")))
-    dealt = rows.select("fp", "leaf", F.explode(F.when(F.col("own"), F.concat(as_own, as_other)).otherwise(as_other)).alias("p")).select("fp", "leaf", "p.*")
+    dealt = rows.select(*kept, "leaf", F.explode(F.when(F.col("own"), F.concat(as_own, as_other)).otherwise(as_other)).alias("p")).select(*kept, "leaf", "p.*")
 
     def compare(t: pa.Table) -> pa.Table:
         fps, own = t["fp"].to_numpy().view(np.uint64), t["own"].to_numpy()
-        a, b = near(fps[own], fps[~own], radius)
+        if sets:
+            bins = np.frombuffer(b"".join(t["bins"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            columns = fps, t["node"].to_numpy().view(np.uint64), t["size"].to_numpy(), bins
+            a, b = candidates(tuple(c[own] for c in columns), tuple(c[~own] for c in columns), radius)
+        else:
+            a, b = near(fps[own], fps[~own], radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return dealt.groupBy("leaf", "i", "j").applyInArrow(compare, "a long, b long")
@@ -263,22 +323,67 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def confirmed(edges: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The links of up to SURE bits, and those whose sketches share enough."""
-    of = lambda x: distinct.select(F.col("fp").alias(x), F.col("sketch").alias(f"{x}_sketch"))
-    wide = edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > SURE).distinct().join(of("a"), "a").join(of("b"), "b")
-    same = F.size(F.array_intersect("a_sketch", "b_sketch")) >= SHARED * F.least(F.size("a_sketch"), F.size("b_sketch"))
-    sure = edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= SURE)
-    return sure.unionByName(wide.where(same).select("a", "b"))
+def similar(t: pa.Table) -> pa.Table:
+    """Linked pairs between block i and block j of a cluster; if there are more than sets, a spanning forest of them."""
+    t = t.filter(pc.greater(t["size"], 0))
+    node, size, mine = t["node"].to_numpy().view(np.uint64), t["size"].to_numpy(), t["mine"].to_numpy()
+    a, b, every = [node[:0]], [node[:0]], np.unique(node)
+    if len(node) > 1:
+        _, ids = np.unique(t["set"].combine_chunks().flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        starts, inside = np.cumsum(size) - size, np.zeros(ids.max() + 1, dtype=bool)
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        for x in np.flatnonzero(mine == i):
+            mark = ids[starts[x] : starts[x] + size[x]]
+            inside[mark] = True
+            shared = np.add.reduceat(inside[ids], starts, dtype=np.int64)
+            inside[mark] = False
+            linked = (sum(SIMILAR) * shared >= SIMILAR[0] * (size[x] + size)) & (mine == j)
+            if i == j:
+                linked[: x + 1] = False
+            a.append(np.full(int(linked.sum()), node[x])), b.append(node[linked])
+    a, b = np.concatenate(a), np.concatenate(b)
+    if len(a) >= len(every):
+        a, b = spanning(every, a, b)
+    return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+
+def confirmed(clusters: DataFrame, nodes: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """Pairs (a, b) of nodes of a cluster with a Jaccard of SIMILAR or more, whose components are those of all such pairs.
+
+    ``clusters`` has component for each node but the least of it, ``nodes`` has node,
+    size and the least key. The texts are read again for nodes in clusters only.
+    """
+    least = clusters.select(F.col("component").alias("node"), "component").distinct()
+    wanted = saved(clusters.unionByName(least).join(nodes, "node"))
+    large = wanted.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("size") / HASHES)).cast("int").alias("b")).where("b > 1")
+    given = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    keys = wanted.select(F.col("least").alias("least_key")).distinct()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([named(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "set"])
+
+    # Rows of one key may have different texts: only the wanted nodes stay, once.
+    texts = given.join(keys, F.col("key").eqNullSafe(F.col("least_key")), "left_semi").select("text")
+    sets = texts.mapInArrow(read, "node long, set array<long>").dropDuplicates(["node"])
+    placed = wanted.join(F.broadcast(large), "component", "left").withColumn("b", F.coalesce("b", F.lit(1)))
+    placed = placed.select("component", "node", "size", "b", F.pmod(F.xxhash64("node"), F.col("b")).cast("int").alias("mine"))
+    dealt = sets.join(placed, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    dealt = dealt.select("component", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "size", "set")
+    return dealt.groupBy("component", "i", "j").applyInArrow(similar, "a long, b long")
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, confirm: bool = False) -> DataFrame:
     """key, ``fp`` and ``component_id`` (the least key reachable over links) of each row."""
     prints = saved(fingerprints(df, key, text, shingle, confirm))
-    distinct = saved(prints.groupBy("fp").agg(F.min("key").alias("least"), *[F.min("sketch").alias("sketch")] * confirm))
-    edges = links(distinct, radius, blocks)
-    found = components(confirmed(saved(edges), distinct) if confirm else edges)
-    classed = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
-    named = classed.groupBy("class").agg(F.min("least").alias("component_id"))
-    of = classed.join(named, "class").select("fp", "component_id")
-    return prints.join(of, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    node = "node" if confirm else "fp"
+    nodes = saved(prints.groupBy(node).agg(F.min("key").alias("least"), *[F.first("size").alias("size")] * confirm))
+    edges = links(saved(prints.select("fp", "node", "size", "bins").dropDuplicates(["node", "fp"])) if confirm else nodes, radius, blocks, confirm)
+    if confirm:
+        edges = confirmed(components(edges), nodes, df, key, text)
+    found = components(edges).withColumnRenamed("node", "of")
+    classed = nodes.join(found, nodes[node] == found["of"], "left").select(node, "least", F.coalesce("component", node).alias("class"))
+    named_ = classed.groupBy("class").agg(F.min("least").alias("component_id"))
+    of = classed.join(named_, "class").select(node, "component_id")
+    return prints.join(of, node).select(F.col("key").alias(key), "fp", "component_id")

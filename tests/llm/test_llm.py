@@ -340,6 +340,49 @@ def test_wide_links_are_confirmed(spark, given):
     assert sum(want[60 + i] == want[i] for i in range(20)) >= 17
 
 
+def brute_similar(texts, radius=64):
+    """Components of all pairs within ``radius`` whose five-word shingle sets have a Jaccard of 0.8 or more, and the pairs' distances."""
+    sets, prints = [], [brute_print(t) for t in texts]
+    for t in texts:
+        words = re.findall(SPACE, lower(t))
+        sets.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)})
+    of, far = list(range(len(texts))), []
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            d = (prints[a] ^ prints[b]).bit_count()
+            if d <= radius and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                far.append(d)
+                x, y = find(a), find(b)
+                of[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(texts))}, far
+
+
+def edited(rng, text, share):
+    """``text`` with a share of its words changed."""
+    words = text.split()
+    for k in rng.sample(range(len(words)), round(len(words) * share)):
+        words[k] = f"changed{rng.random()}"
+    return " ".join(words)
+
+
+def test_links_have_the_exact_similarity(spark, given):
+    rng = random.Random(6)
+    texts = [t for t in given.values() if len(t.split()) > 100][:12]
+    texts += [edited(rng, t, share) for t in texts for share in (0.01, 0.03, 0.05)]
+    texts += ["x y z " * 40, "x y z " * 41, None, "", " \n", "short text", "short  text", "short texts"]
+    # One print, two texts: each of these repeats one shingle of three words more often than all others.
+    texts += ["p q r " * 60 + " ".join(f"{c}{k}" for k in range(20)) for c in "uv"]
+    out = simhash.near_copies(docs(spark, texts), radius=corpus_pipeline.RADIUS, blocks=corpus_pipeline.BLOCKS, confirm=True).collect()
+    want, _ = brute_similar(texts, corpus_pipeline.RADIUS)
+    assert {r["doc_id"]: r["component_id"] for r in out} == want
+
+
 def test_near_copies_of_nothing(spark):
     assert simhash.near_copies(docs(spark, ["a"]).where("false")).collect() == []
 
