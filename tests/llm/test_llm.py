@@ -383,6 +383,24 @@ def test_links_have_the_exact_similarity(spark, given):
     assert {r["doc_id"]: r["component_id"] for r in out} == want
 
 
+def test_dense_tasks_lose_no_confirmed_link(spark, monkeypatch):
+    """Bridges of few bits between texts of different shingles must not hide the true links of more bits."""
+    for name, x in (("LEAF", 20), ("HOME", 16), ("MEMBERS", 64), ("PAIRS", 10), ("SETS", 8), ("HASHES", 2000)):
+        monkeypatch.setattr(simhash, name, x)
+    rng, texts, prints = random.Random(8), [], []
+    # One phrase weighs most in each print, and is three shingles of the set.
+    while len(texts) < 80:
+        tail = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        new = ["p q r " * 12 + " ".join(tail)]
+        if len(texts) < 16:
+            new.append("p q r " * 12 + " ".join([*tail[:-4], *(f"v{rng.randrange(10**6)}" for _ in range(4))]))
+        of = [*prints, *map(brute_print, new)]
+        if min(((x ^ y).bit_count() for k, x in enumerate(of[len(prints):], len(prints)) for y in of[:k]), default=9) > 3 and (len(new) == 1 or 6 <= (of[-1] ^ of[-2]).bit_count() <= 9):
+            texts, prints = texts + new, of
+    out = simhash.near_copies(docs(spark, texts), radius=9, blocks=5, confirm=True).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: i - i % 2 if i < 16 else i for i in range(80)} == brute_similar(texts, 9)[0]
+
+
 def test_near_copies_of_nothing(spark):
     assert simhash.near_copies(docs(spark, ["a"]).where("false")).collect() == []
 
