@@ -401,6 +401,17 @@ def test_dense_tasks_lose_no_confirmed_link(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: i - i % 2 if i < 16 else i for i in range(80)} == brute_similar(texts, 9)[0]
 
 
+def test_similar_texts_of_many_bits_are_found(spark):
+    rng, texts = random.Random(9), []
+    while len(texts) < 20:
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(180))
+        pair = [text, edited(rng, text, 0.02)]
+        if 10 <= (brute_print(pair[0]) ^ brute_print(pair[1])).bit_count() <= 13 and len(set(brute_similar(pair)[0].values())) == 1:
+            texts += pair
+    out = corpus_pipeline.simhash_near_dedup(spark, docs(spark, texts), DIR).collect()
+    assert {r["doc_id"] for r in out} == set(range(0, 20, 2))
+
+
 def test_near_copies_of_nothing(spark):
     assert simhash.near_copies(docs(spark, ["a"]).where("false")).collect() == []
 
