@@ -7,13 +7,21 @@ is over its share (a group of copies, say) is subdivided by the hash of the key.
 The pieces, a bounded number, are dealt to the shards, largest first, each to the
 least filled shard, which makes the shards' bytes near equal.
 
-Only sums for each piece reach the driver: at most ``3 * ranges`` rows,
-whatever the input's size. Slots are counted inside pieces, never inside a shard,
-and the pieces' sums give each its first slot.
+A piece is numbered in parts of a size that suits one task, dealt by hash, so neither a
+piece nor a shard stands in one task. The parts' counts give each its first slot.
+
+Rows that agree in text and key can't be told apart by hash. If a group of such rows is
+over its share, the rows are written to the shared folder with a number for each first,
+and dealt by that number: read again, a row keeps its number, so a task that is run
+again deals alike.
+
+Only sums for each piece reach the driver: at most ``3 * ranges`` rows, whatever the
+input's size.
 
 Defined cases: a null text has zero bytes and stands before all texts; repeated rows
-stay in one piece and get slots of their own; an empty table gives an empty table.
-Other columns pass through; those named like an output are replaced.
+and rows without key get slots of their own and are spread like others; an empty table
+gives an empty table. Other columns pass through; those named like an output are
+replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh
+from .common import fresh, saved
 
 #: Bytes added to each row's text.
 ROW_BYTES = 8
@@ -32,6 +40,8 @@ ROW_BYTES = 8
 RANGES, SAMPLES = 48, 12
 #: Shares (each 1 / ranges of all) beyond which a range is subdivided, and of each part.
 OVERFULL, PART = 8, 4
+#: Bytes and rows wanted in a part of a piece, which one task numbers.
+TASK_BYTES, TASK_ROWS = 128 << 20, 1_000_000
 
 
 def split_points(keys: DataFrame, total: int, ranges: int) -> list[int]:
@@ -72,35 +82,45 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     outs = ("size", "shard", "slot")
     ranges = ranges or shards * RANGES
     df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in outs or c in (key, text)])
-    names = [c for c in df.columns if c.lower() not in outs]
-    h, size, piece = fresh(df, "h"), fresh(df, "size"), fresh(df, "piece")
+    names = [F.col(f"`{c}`") for c in df.columns if c.lower() not in outs]
+    h, size, number, piece, part, shard, first = (fresh(df, x) for x in ("h", "size", "number", "piece", "part", "shard", "first"))
     bytes_ = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + ROW_BYTES
     null_first = F.when(F.col(f"`{text}`").isNull(), F.lit(-(1 << 63))).otherwise(F.xxhash64(F.col(f"`{text}`")))
-    df = df.withColumns({h: null_first, size: bytes_})
+    df = df.withColumns({h: null_first, size: bytes_, number: F.lit(0).cast("long")})
     keys = df.select(F.col(h).alias("h"), F.col(f"`{key}`").cast("string").alias("key"), F.col(size).alias("size"))
     n, total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     points = split_points(keys, total, ranges)
-    found = keys.groupBy(range_of(F.col("h"), points).alias("r")).agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    share = lambda r: max(r["size"] / max(1, total), r["n"] / max(1, n)) * ranges
+    sums = (F.count("*").alias("n"), F.sum("size").alias("size"))
+    found = keys.groupBy(range_of(F.col("h"), points).alias("r")).agg(*sums).collect()
     # A range that holds OVERFULL shares of the bytes or the rows is subdivided; others, with the groups in them, stay whole.
-    shares = {r["r"]: max(r["size"] / max(1, total), r["n"] / max(1, n)) * ranges for r in found}
-    split = {r: 1 + int(x / PART) for r, x in shares.items() if x > OVERFULL}
-    cuts = F.create_map(*[F.lit(x) for p in split.items() for x in p]) if split else None
-    within = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit("piece")), F.coalesce(cuts[F.col(piece)], F.lit(1)).cast("long")) if split else F.lit(0).cast("long")
-    df = df.withColumn(piece, range_of(F.col(h), points)).withColumn(piece, F.col(piece) * F.lit(1 << 32) + within)
-    sums = df.groupBy(piece).agg(F.count("*").alias("n"), F.sum(size).alias("s")).collect()
-    heap, rows, dealt = [(0, k) for k in range(shards)], [0] * shards, {}
-    for p in sorted(sums, key=lambda r: (-r["s"], r[piece])):
+    split = {r["r"]: 1 + int(share(r) / PART) for r in found if share(r) > OVERFULL}
+    within = F.lit(0).cast("long")
+    if split:
+        overfull = keys.where(range_of(F.col("h"), points).isin(list(split)))
+        most = PART / ranges
+        hot = overfull.groupBy("h", "key").agg(*sums).where((F.col("n") > 1) & ((F.col("size") > most * total) | (F.col("n") > most * n)))
+        if not hot.isEmpty():
+            df = saved(df.withColumn(number, F.monotonically_increasing_id()))
+        cuts = F.create_map(*[F.lit(x) for p in split.items() for x in p])
+        within = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), number, F.lit("piece")), F.coalesce(cuts[range_of(F.col(h), points)], F.lit(1)).cast("long"))
+    df = df.withColumn(piece, range_of(F.col(h), points) * F.lit(1 << 32) + within)
+    parts = max(1, -(-total // (ranges * TASK_BYTES)), -(-n // (ranges * TASK_ROWS)))
+    df = df.withColumn(part, F.pmod(F.xxhash64(h, F.col(f"`{key}`").cast("string"), number, F.lit("part")), F.lit(parts)))
+    counts = df.groupBy(piece, part).agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+    heap, dealt = [(0, k) for k in range(shards)], {}
+    for p in sorted(counts.groupBy(piece).agg(F.sum("size").alias("s")).collect(), key=lambda r: (-r["s"], r[piece])):
         filled, k = heapq.heappop(heap)
-        dealt[p[piece]] = (k, rows[k])
-        rows[k] += p["n"]
+        dealt[p[piece]] = k
         heapq.heappush(heap, (filled + p["s"], k))
     if not dealt:
-        return df.select(*(f"`{c}`" for c in names), F.col(size).alias("size"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    plan = df.sparkSession.sql("select inline(array(" + ", ".join(f"struct({p}L as {piece}, {k} as shard, {b}L as slot0)" for p, (k, b) in dealt.items()) + "))")
-    order = W.partitionBy(piece).orderBy(h, F.col(f"`{key}`"), size)
-    ranked = df.withColumn("slot", F.row_number().over(order).cast("long") - 1)
-    out = ranked.join(F.broadcast(plan), piece)
-    return out.select(*(f"`{c}`" for c in names), F.col(size).alias("size"), "shard", (F.col("slot") + F.col("slot0")).alias("slot"))
+        return df.select(*names, F.col(size).alias("size"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    plan = df.sparkSession.sql("select inline(array(" + ", ".join(f"struct({p}L as {piece}, {k} as {shard})" for p, k in dealt.items()) + "))")
+    before = W.partitionBy(shard).orderBy(piece, part).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.join(F.broadcast(plan), piece).select(piece, part, shard, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    order = W.partitionBy(piece, part).orderBy(h, F.col(f"`{key}`").cast("string"), number)
+    ranked = df.withColumn("slot", F.row_number().over(order).cast("long") - 1).join(starts, [piece, part])
+    return ranked.select(*names, F.col(size).alias("size"), F.col(shard).alias("shard"), (F.col("slot") + F.col(first)).alias("slot"))
 
 
 def write(assigned: DataFrame, path: str) -> None:
