@@ -10,28 +10,30 @@ labelled purity, smoothed towards its host's and the host's towards the whole
 table's, reaches ``REJECT``.
 
 Everything is DataFrame operations. The tree is grown on counts for each
-(host, shape), so a host with most of the pages is summed before any shuffle.
+(host, shape), so a host with most of the pages is summed before any shuffle. A level
+works only on the shapes that go deeper in a node with pages enough for a branch; all
+segments of the others are wildcards at once. So there are as many levels as paths have
+that many pages share, and the counts shrink from level to level.
 
 Defined cases: null urls and urls without ``://`` have empty host and path and no
-rule; without labels nothing is blocked but by rules; repeated rows are judged
-alike; an empty table gives an empty table. Other columns pass through; those named
-like an output are replaced.
+rule; null labels are unknown; without labels nothing is blocked but by rules; repeated
+rows are judged alike; an empty table gives an empty table. Other columns pass through;
+those named like an output are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, saved
 
-#: Levels of the tree; what lies deeper is part of its level's last branch.
-DEPTH = 4
 #: Pages a branch needs, the test's critical value, weight of the prior and purity at which a template is blocked.
 SUPPORT, CRITICAL, WEIGHT, REJECT = 5, 1.96, 4.0, 0.8
-ANY, END, SEPARATOR = "*", "$", "\x1f"
+ANY, END = "*", ""
 
 
 @dataclass(frozen=True)
@@ -63,9 +65,8 @@ def rule_of(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Column, C
 
 
 def shape(path: Column) -> Column:
-    """The first DEPTH segments with digits as a wildcard, joined."""
-    seen = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/"), lambda s: s != "")
-    return F.array_join(F.slice(seen, 1, DEPTH), SEPARATOR)
+    """All segments of a path, with digits as a wildcard."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/"), lambda s: s != "")
 
 
 def templates(counts: DataFrame) -> DataFrame:
@@ -73,10 +74,11 @@ def templates(counts: DataFrame) -> DataFrame:
 
     ``counts`` has one row for each host and shape: n, labelled and bad.
     """
-    level = saved(counts.withColumn("template", F.lit("")))
-    for d in range(DEPTH):
-        level = level.withColumn("seg", F.coalesce(F.get(F.split("shape", SEPARATOR), F.lit(d)), F.lit(END)))
-        level = level.withColumn("seg", F.when(F.col("seg") == "", F.lit(END)).otherwise(F.col("seg")))
+    open_ = saved(counts.withColumn("template", F.lit("")))
+    names, done, d = open_.columns, [], 0
+    while True:
+        seg = F.coalesce(F.get("shape", F.lit(d)), F.lit(END))
+        level = open_.withColumn("seg", seg)
         branch = saved(level.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad"))))
         node = branch.groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         a, b = F.col("labelled") + 2, F.col("all_labelled") - F.col("labelled") + 2
@@ -86,8 +88,17 @@ def templates(counts: DataFrame) -> DataFrame:
         kept = branch.join(node, ["host", "template"]).where(own).select("host", "template", "seg", F.lit(True).alias("own"))
         step = F.concat(F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise(F.lit(ANY)))
         step = F.when(F.col("seg") == END, F.lit("")).otherwise(step)
-        level = level.join(kept, ["host", "template", "seg"], "left").withColumn("template", F.concat("template", step)).drop("seg", "own")
-        level = saved(level)
+        level = level.join(kept, ["host", "template", "seg"], "left").withColumn("template", F.concat("template", step)).select(*names)
+        d += 1
+        below = level.where(F.size("shape") > d).groupBy("host", "template").agg(F.sum("n").alias("below")).where(F.col("below") >= SUPPORT)
+        level = saved(level.join(below, ["host", "template"], "left"))
+        rest = F.repeat(F.lit(f"/{ANY}"), F.greatest(F.size("shape") - d, F.lit(0)))
+        grows = (F.size("shape") >= d) & F.col("below").isNotNull()  # what ends in the node is a branch of it, too
+        done.append(level.where(~grows).withColumn("template", F.concat("template", rest)).select(*names))
+        open_ = level.where(grows).select(*names)
+        if open_.isEmpty():
+            break
+    level = saved(reduce(DataFrame.unionByName, done))
     sums = (F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     every = level.agg(*sums).first()
     share = (every["bad"] or 0) / every["labelled"] if every["labelled"] else 0.0
@@ -105,17 +116,17 @@ def judge(df: DataFrame, rules: list[UrlRule], label: Column | None = None, url:
     verdicts of the rules are the labels.
     """
     outs = ("host", "path", "rule", "verdict", "template")
-    df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in outs or c == url])
-    names = [c for c in df.columns if c.lower() not in outs]
+    kept = [c for c in df.columns if c.lower() not in outs]
     host, path = parts(F.col(f"`{url}`"))
-    rows = df.select(*(F.col(f"`{c}`") for c in names), host.alias("host"), path.alias("path"), *([label.alias("label")] if label is not None else []))
+    # The table's own columns stand in one struct, so none of them can clash with a helper.
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row") if kept else F.lit(None).alias("row"), host.alias("host"), path.alias("path"), (F.lit(None) if label is None else label).cast("double").alias("label"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("of_rule"), shape(F.col("path")).alias("shape"))
-    known = F.col("label").cast("double") if label is not None else F.when(F.col("of_rule") == "block", 1.0).when(F.col("of_rule") == "allow", 0.0)
+    known = F.col("label") if label is not None else F.when(F.col("of_rule") == "block", 1.0).when(F.col("of_rule") == "allow", 0.0)
     counts = rows.select("host", "shape", known.alias("known")).groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("known").alias("labelled"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("bad")
     )
     found = templates(counts).select("host", "shape", "template", "blocked")
     method = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
     out = rows.join(found, ["host", "shape"])
-    return out.select(*(f"`{c}`" for c in names), "host", "path", "rule", F.coalesce("of_rule", method).alias("verdict"), "template")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), "host", "path", "rule", F.coalesce("of_rule", method).alias("verdict"), "template")
