@@ -16,10 +16,12 @@ the shards are dealt, which loses nothing.
 
 Measured recall of the 20 nearest against brute force: see README.
 
-Defined cases: vectors that are null, empty, zero, of another dimension than the longest, or that
-hold null or non-finite components take no part, nor do rows with null id; with
-fewer candidates than ``k`` all are returned; ties go to the smaller id; an empty
-table gives an empty table. Only the id and vector columns are read.
+Defined cases: vectors that are null, empty, zero, or that hold null or non-finite
+components take no part, nor do rows with null id; vectors of different dimensions have
+no inner product, so each dimension is searched on its own; with fewer candidates than
+``k`` all are returned; each row is a candidate, also of a repeated id, and a repeated id
+asks with all its vectors; ties go to the smaller id; an empty table gives an empty table. Only the id and vector columns are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ def best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: n
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     forest, out = Forest(vectors, longest), ([], [], [])
-    for q, v, c in zip(query_ids, queries, forest.candidates(queries, wanted_entries(len(ids))), strict=True):
+    for q, v, c in zip(query_ids, queries, forest.candidates(queries, wanted_entries(len(ids), k)), strict=True):
         c = c[ids[c] != q]
         rough = vectors[c] @ v
         if len(c) > 2 * k:
@@ -103,12 +105,13 @@ def best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: n
     return [np.concatenate(x) if x else np.array([], dtype=t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
 
 
-def wanted_entries(n: int) -> int:
+def wanted_entries(n: int, k: int) -> int:
     """Entries of all trees together at which the ascent stops, so that about SHARE of n rows are among them.
 
     Entries of different trees overlap: with t entries a row is missed with a chance of about exp(-t / n).
+    Among few rows all entries are wanted, so that a query with fewer than k candidates gets all.
     """
-    return int(np.ceil(-np.log(1 - SHARE) * n))
+    return n * TREES if n <= 4 * k else int(np.ceil(-np.log(1 - SHARE) * n))
 
 
 def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -116,28 +119,27 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
 
     ``is_query`` is a condition on the column ``key``.
     """
-    rows = usable(df, key, vector)
-    n, n_queries, size, longest = rows.agg(
-        F.count("*"), F.coalesce(F.sum(is_query.cast("long")), F.lit(0)), F.max(F.size("v")),
-        F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))),
-    ).first()
-    size, longest = size or 0, longest or 0.0
-    rows = rows.where(F.size("v") == size)
-    shards, blocks = max(1, round(n / SHARD)), max(1, -(-n_queries // BLOCK))
+    rows = usable(df, key, vector).withColumn("size", F.size("v"))
+    stats = rows.groupBy("size").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(is_query.cast("long")), F.lit(0)).alias("asked"),
+        F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"),
+    )
+    # One row for each dimension that occurs.
+    stats = stats.select("size", "longest", F.greatest(F.lit(1), F.round(F.col("n") / SHARD)).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("asked") / BLOCK)).cast("int").alias("blocks"))
     same = W.partitionBy("v").orderBy("key")
-    base = rows.withColumn("same", F.row_number().over(same)).where(F.col("same") <= k + 1).drop("same")
-    part = lambda count, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(count)).cast("int")
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    indexed = base.select("key", "v", F.lit(False).alias("query"), part(shards, 1).alias("shard"), each(blocks).alias("block"))
-    asked = rows.where(is_query).select("key", "v", F.lit(True).alias("query"), each(shards).alias("shard"), part(blocks, 2).alias("block"))
+    base = rows.withColumn("same", F.row_number().over(same)).where(F.col("same") <= k + 1).drop("same").join(stats, "size")
+    part = lambda count, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    indexed = base.select("key", "v", "size", "longest", F.lit(False).alias("query"), part("shards", 1).alias("shard"), each("blocks").alias("block"))
+    asked = rows.where(is_query).join(stats, "size").select("key", "v", "size", "longest", F.lit(True).alias("query"), each("shards").alias("shard"), part("blocks", 2).alias("block"))
 
     def run(t: pa.Table) -> pa.Table:
         ids, query = t["key"].to_numpy(), t["query"].to_numpy()
         lists = t["v"].combine_chunks()
-        v = (lists.flatten() if isinstance(lists, pa.Array) else pa.concat_arrays([c.flatten() for c in lists.chunks])).to_numpy().reshape(-1, size)
-        a, b, s = best(ids[~query], v[~query], ids[query], v[query], k, longest) if query.any() and not query.all() else ([], [], [])
+        v = (lists.flatten() if isinstance(lists, pa.Array) else pa.concat_arrays([c.flatten() for c in lists.chunks])).to_numpy().reshape(len(ids), -1)
+        a, b, s = best(ids[~query], v[~query], ids[query], v[query], k, t["longest"][0].as_py()) if query.any() and not query.all() else ([], [], [])
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    found = indexed.unionByName(asked).groupBy("shard", "block").applyInArrow(run, "query_id long, vec_id long, score double")
+    found = indexed.unionByName(asked).groupBy("size", "shard", "block").applyInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
