@@ -4,10 +4,12 @@ A document longer than a sequence gives full pieces and a rest; a rest gives a b
 a multiple of ``BLOCK_TOKENS``, and a tail. The histogram of the pieces (one class for
 each length, so of bounded size) is a cutting-stock problem: a linear program over patterns, solved by column generation, whose new
 columns an unbounded knapsack prices by dynamic programming. The solution is
-rounded down; what is left, a bounded number of pieces, is packed by best fit. The
-pieces of each length are ranked, in salted parts, and the rank says which copy
+rounded down; what is left, a bounded number of pieces, is packed by best fit. A task
+numbers its pieces of each length as it cuts them; the counts by task, summed over the
+tasks before, make that a rank among all pieces of the length. The rank says which copy
 of which pattern, and so which sequence and offset, a piece gets. Since classes
-are exact lengths, every place in a pattern is filled exactly.
+are exact lengths, every place in a pattern is filled exactly. No group is larger than
+what one task has cut, whatever the share of a length or of a repeated key.
 
 Defined cases: a null text counts as empty and has only the closing id; repeated
 rows are pieces of their own; an empty table gives an empty table. Only the key and
@@ -16,42 +18,78 @@ text columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
+from tokenizers import Tokenizer
 
-from .common import ranked, saved
-from .segments import SegmentCache
+from .common import saved
 
 LENGTH, END_ID, BLOCK_TOKENS = 1024, 0, 256
-#: Salted parts in which the pieces of a length are ranked.
-SALTS = 64
 #: The linear program stops at this share above its lower bound, or after so many columns; either only leaves more padding.
 GAP, COLUMNS = 0.002, 1200
-BLOCK = 2_000_000
-_cache: dict[str, SegmentCache] = {}
+_encoders: dict[tuple[str, str | None], Callable[[str], np.ndarray]] = {}
 
 
-def tokenizer(path: str) -> SegmentCache:
-    """The tokenizer behind a cache of segments, read once in each worker."""
-    if path not in _cache:
-        import os
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        known = t.get_vocab(with_added_tokens=True)
-        sizes = np.zeros(max(known.values()) + 1, dtype=np.int64)
-        for token, i in known.items():
-            sizes[i] = len(token)
-        _cache[path] = SegmentCache(lambda s: np.array(t.encode_batch_fast([s], add_special_tokens=False)[0].ids, dtype=np.int32), sizes)
-    return _cache[path]
+def ranks_of(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Token bytes and special tokens of a tokenizer file whose ids are the order of its merges, else None."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    model, cut = d["model"], d.get("pre_tokenizer") or {}
+    level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    if model.get("type") != "BPE" or not level or d.get("normalizer") or model.get("dropout"):
+        return None
+    special = {t["content"]: t["id"] for t in d.get("added_tokens", [])}
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in d.get("added_tokens", [])):
+        return None
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(merged):
+        return None
+    letters = byte_letters()
+    return {bytes(map(letters.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}, special
+
+
+def encoder(path: str, pattern: str | None) -> Callable[[str], np.ndarray]:
+    """Text to the ids that the tokenizer file gives it, read once in each worker.
+
+    With ``pattern``, the file's own way to cut text, the merges run in tiktoken, which
+    needs half the time; the ids are the same. What its pattern engine refuses, white
+    space of millions of characters, and files of another kind go through tokenizers.
+    """
+    if (path, pattern) in _encoders:
+        return _encoders[path, pattern]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    slow = Tokenizer.from_file(path)
+    by_tokenizers = lambda s: np.array(slow.encode_batch_fast([s], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    found, encode = ranks_of(path) if pattern else None, by_tokenizers
+    if found:
+        fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=found[0], special_tokens=found[1])
+
+        def encode(s: str) -> np.ndarray:
+            try:
+                return fast.encode_to_numpy(s, allowed_special="all")
+            except ValueError:
+                return by_tokenizers(s)
+
+    _encoders[path, pattern] = encode
+    return encode
 
 
 def cuts(n: int, length: int) -> list[tuple[int, int]]:
@@ -66,38 +104,33 @@ def cuts(n: int, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """One row for each document: key, doc_tokens (with the closing id) and its pieces (start, length, ids_crc32 and, if asked for, ids)."""
-    fields = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
-    kinds = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    if with_ids:
-        fields.append(("ids", T.BinaryType()))
-        kinds.append(("ids", pa.binary()))
-    piece = T.StructType([T.StructField(n, t, False) for n, t in fields])
+def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False, pattern: str | None = None) -> DataFrame:
+    """One row for each document: key, doc_tokens (with the closing id), its task and its pieces.
+
+    A piece has start, length, ids_crc32, its number among the task's pieces of its
+    length and, if asked for, ids.
+    """
+    kinds = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("number", pa.int64()), *[("ids", pa.binary())] * with_ids]
+    piece = T.StructType([T.StructField(n, T.BinaryType() if n == "ids" else T.LongType(), False) for n, _ in kinds])
     keys = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([keys.schema["key"], T.StructField("doc_tokens", T.LongType()), T.StructField("pieces", T.ArrayType(piece, False))])
-    end = np.array([END_ID], dtype="<i4").tobytes()
+    schema = T.StructType([keys.schema["key"], T.StructField("doc_tokens", T.LongType()), T.StructField("task", T.IntegerType()), T.StructField("pieces", T.ArrayType(piece, False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokenizer(path)
+        encode, end, task = encoder(path, pattern), END_ID.to_bytes(4, "little"), TaskContext.get().partitionId()
+        seen = [0] * (length + 1)
         for b in batches:
-            texts, at = [t or "" for t in b.column(1).to_pylist()], 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and size < BLOCK:
-                    size += len(texts[stop])
-                    stop += 1
-                encoded = [e + end for e in cache.texts(texts[at:stop])]
-                at_ = [cuts(len(e) // 4, length) for e in encoded]
-                cut = [e[4 * k : 4 * (k + n)] for e, c in zip(encoded, at_, strict=True) for k, n in c]
-                columns = [pa.array([p[i] for c in at_ for p in c], pa.int64()) for i in (0, 1)] + [pa.array(list(map(zlib.crc32, cut)), pa.int64())]
-                if with_ids:
-                    columns.append(pa.array(cut, pa.binary()))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in at_])]).astype(np.int32))
-                inner = pa.StructArray.from_arrays(columns, fields=[pa.field(n, t, False) for n, t in kinds])
-                lists = pa.ListArray.from_arrays(offsets, inner)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, stop - at), pa.array([len(e) // 4 for e in encoded], pa.int64()), lists], names=["key", "doc_tokens", "pieces"])
-                at = stop
+            sizes, rows, ends = [], [], [0]
+            for t in b.column(1).to_pylist():
+                ids = encode(t or "").astype("<u4").tobytes() + end
+                for start, n in cuts(len(ids) // 4, length):
+                    part = ids[4 * start : 4 * (start + n)]
+                    rows.append((start, n, zlib.crc32(part), seen[n], *[part] * with_ids))
+                    seen[n] += 1
+                sizes.append(len(ids) // 4), ends.append(len(rows))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            inner = pa.StructArray.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, kinds, strict=True)], fields=[pa.field(n, k, False) for n, k in kinds])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([task] * len(sizes), pa.int32()), lists], names=schema.names)
 
     return keys.mapInArrow(run, schema)
 
@@ -205,18 +238,20 @@ def places(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...
     return {x: tuple(np.array(v, dtype=np.int64).T) for x, v in found.items()}
 
 
-def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False, pattern: str | None = None) -> DataFrame:
     """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    docs = saved(pieces(df, path, key, text, length, with_ids))
-    parts = docs.select("key", "doc_tokens", F.explode("pieces").alias("p")).select("key", "doc_tokens", "p.*")
+    docs = saved(pieces(df, path, key, text, length, with_ids, pattern))
+    parts = docs.select("key", "doc_tokens", "task", F.explode("pieces").alias("p")).select("key", "doc_tokens", "task", "p.*")
+    counts = parts.groupBy("length", "task").agg(F.count("*").alias("n"))
     demand = np.zeros(length, dtype=np.int64)
-    for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect():
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         demand[r["length"] - 1] = r["n"]
-    plan = cutting_stock(demand, length)
-    where = places(plan)
-    rank = ranked(parts, ["length"], ["key", "start", "ids_crc32"], F.xxhash64(F.col("key").cast("string"), F.col("start")), SALTS, "rank")
-    given = [n for n in ("start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids)]
-    schema = T.StructType([T.StructField(key, docs.schema["key"].dataType), *(parts.schema[n] for n in given), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    where = places(cutting_stock(demand, length))
+    before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    first = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    given = ["start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    rank = parts.join(first, ["length", "task"]).select("key", *given, (F.col("number") + F.col("first")).alias("rank"))
+    schema = T.StructType([T.StructField(key, docs.schema["key"].dataType), *(rank.schema[n] for n in given), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,4 +264,4 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", leng
                 sequence[i], offset[i] = seq[p] + ranks[i] - low[p], at[p]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return rank.select("key", *given, "rank").mapInArrow(run, schema)
+    return rank.mapInArrow(run, schema)
