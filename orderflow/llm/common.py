@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 #: A-Z, lower-cased without touching any other letter.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,38 +37,29 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("orderflow.scratch", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="orderflow-")
-            spark.conf.set("orderflow.scratch", path)
-    return path.rstrip("/")
+    return path.rstrip("/") if path else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    The files are removed when the driver ends, since the frame may be read until then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], salt: Column, salts: int, name: str) -> DataFrame:
-    """Adds ``name``: a gapless 0-based rank of each row in its group.
+#: Rows of two or three numbers that may be broadcast: a few MB.
+FEW = 200_000
 
-    Rows are dealt by (group, salt), so a group with most of the rows is ranked
-    in ``salts`` parts; the parts' sizes, at most groups x salts rows, give each
-    part its first rank. The order inside a part is ``order``; parts follow one
-    another by salt.
-    """
-    s, n, base = fresh(df, "salt"), fresh(df, "n"), fresh(df, "base")
-    df = df.withColumn(s, F.pmod(salt, F.lit(salts)).cast("int"))
-    sizes = df.groupBy(*group, s).agg(F.count("*").alias(n))
-    before = W.partitionBy(*group).orderBy(s).rowsBetween(W.unboundedPreceding, -1)
-    first = sizes.select(*group, s, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
-    inside = W.partitionBy(*group, s).orderBy(*order)
-    out = df.withColumn(name, F.row_number().over(inside).cast("long") - 1)
-    keys = [*group, s]
-    return out.join(first, keys).withColumn(name, F.col(name) + F.col(base)).drop(s, base)
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, written out and marked for broadcast if it has no more than FEW rows; else the join shuffles."""
+    df = saved(df)
+    return F.broadcast(df) if df.count() <= FEW else df

@@ -16,23 +16,30 @@ task holds at most HOME + MEMBERS of them whatever the leaf's size. Where a task
 more links than it has fingerprints, it returns a spanning forest of them, which has the
 same components, so a dense group gives no more links than it has members.
 
-For wide radii, where unrelated texts come near by chance, links can be confirmed: two
-texts link if their five-word shingle sets have a Jaccard of ``SIMILAR`` or more. The
-nodes are then the different shingle sets. Leaves find candidates, pairs within the
-radius whose counts of shingles by ``BINS`` bins allow that Jaccard; the counts bound
-it from above, so no link is lost. A forest of the candidates tells only the clusters.
-In each cluster the whole shingle sets of all pairs are compared, in blocks of bounded
-size, so no pair hangs on a link that is rejected.
-
-Defined cases: a null or empty text has fingerprint zero and links like any other;
-repeated rows belong to the same component; a null key never names a component
-unless it has no other; an empty table gives an empty table. Only the key and text
-columns are read, so other columns cannot clash.
+``similar_copies`` links texts whose five-word shingle sets have a Jaccard of ``SIMILAR``
+or more. At that similarity 64 bits are too few: they differ in some ten bits, and trees
+of so wide a radius prune nothing. A shingle set therefore has a longer fingerprint, cut
+into blocks with a tree each, and a pair that agrees in a block meets in a leaf of its
+tree. At Jaccard j it differs in a bit with a chance of p = acos(2j / (1 + j)) / pi, and
+so agrees in a block of b bits with (1 - p)^b; ``layout`` takes as many bits as keep a
+leaf small, which grow with the logarithm of the rows, and as many blocks as find
+``RECALL`` of the pairs at the least similarity, and more of all above it, at every size.
+In a leaf all pairs are compared: candidates differ in at most ``WITHIN`` of 256 bits,
+which one pair in 10,000 at the least similarity exceeds, and their sizes must allow that
+Jaccard. A forest of the candidates tells only the clusters. In each cluster the whole
+shingle sets of all pairs are compared, in blocks of bounded size, so no pair hangs on a
+link that is rejected.
+
+Defined cases: a null or empty text has fingerprint zero and links like any other (an
+empty shingle set only equals itself); repeated rows belong to the same component; a null
+key never names a component unless it has no other; an empty table gives an empty table.
+Only the key and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -43,15 +50,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import few, saved
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 2, 42
-#: Confirmed links share SIMILAR (as a fraction) of their sets of shingles of SET_SHINGLE words; these are counted in BINS bins.
-SIMILAR, SET_SHINGLE, BINS = (4, 5), 5, 64
+#: Similar copies share SIMILAR (as a fraction) of their sets of shingles of SET_SHINGLE words.
+SIMILAR, SET_SHINGLE = (4, 5), 5
+#: Share of the pairs of that similarity that are to agree in a block, bits of a block at least, and rows wanted for each of its values at most.
+RECALL, SET_BITS, SET_LEAF = 0.975, 12, 512
+#: Words of a fingerprint that are compared, bits in which candidates may differ in them, and in half of them.
+WORDS, WITHIN, HALF = 4, 60, 40
 #: Sets and hashes wanted in a block of a cluster; a task compares two blocks.
 SETS, HASHES = 512, 1 << 20
-#: The earlier rule's sketch, for tests: this share of SKETCH least hashes.
-SKETCH, SHARED = 16, 0.5
 #: Fingerprints sampled to place the trees' nodes: SAMPLE at least, one in SAMPLE_SHARE, MOST at most.
 SAMPLE, SAMPLE_SHARE, MOST = 1 << 14, 1000, 1 << 20
 #: Fingerprints wanted in a leaf, and of a task's own and in all.
@@ -78,9 +87,18 @@ def named(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
-def counts(found: np.ndarray) -> bytes:
-    """Hashes in each bin, 255 at most: cut counts differ by no more than whole ones."""
-    return np.minimum(np.bincount((found % BINS).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+def ones(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit values have each bit set, from counts of their bytes."""
+    seen = np.zeros(8 * 256, dtype=np.int64)
+    for k in range(0, len(h), 1 << 16):
+        by_byte = h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8) + _COLUMN
+        seen += np.bincount(by_byte.ravel(), minlength=8 * 256)
+    return (seen.reshape(8, 256) @ _BITS).ravel()
+
+
+#: First count of each byte, and the bits of each byte value.
+_COLUMN = (np.arange(8) * 256).astype(np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -89,28 +107,51 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = len(h)
     if n < 2:
         return int(h[0]) if n else 0
-    ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 1 << 16):
-        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones(h) > n, bitorder="little").view(np.uint64)[0])
+
+
+def layout(n: int) -> tuple[int, int]:
+    """Blocks and bits of each in the fingerprints of ``n`` shingle sets."""
+    j = SIMILAR[0] / SIMILAR[1]
+    p = math.acos(2 * j / (1 + j)) / math.pi
+    bits = max(SET_BITS, math.ceil(math.log2(max(1, n) / (4 * SET_LEAF))))
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - p) ** bits)), bits
+
+
+def set_print(found: np.ndarray, words: int) -> bytes:
+    """SimHash of a shingle set over ``words`` 64-bit words mixed from each hash."""
+    bits = []
+    for word in range(words):
+        x = found + np.uint64((0x9E3779B97F4A7C15 * (word + 1)) % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits.append(2 * ones(x ^ (x >> np.uint64(31))) > len(found))
+    return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
+
+
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """key and ``fp`` (the fingerprint as a signed long)."""
+    given = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([given.schema["key"], T.StructField("fp", T.LongType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=schema.names)
+
+    return given.mapInArrow(run, schema)
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, sets: bool = False) -> DataFrame:
-    """key, ``fp`` (the fingerprint as a signed long) and, if asked for, ``node``, ``size`` and ``bins`` of the shingle set."""
+def shingle_sets(df: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and ``node``, ``size`` and ``print`` of the text's shingle set."""
     given = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    of_set = [T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bins", T.BinaryType())]
-    schema = T.StructType([given.schema["key"], T.StructField("fp", T.LongType(), False), *of_set * sets])
+    schema = T.StructType([given.schema["key"], T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("print", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, more = [], []
-            for t in b.column(1).to_pylist():
-                prints.append(fingerprint(t, shingle))
-                if sets:
-                    found = shingles(t)
-                    more.append((named(found), len(found), counts(found)))
-            columns = [pa.array([m[k] for m in more], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))] if sets else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), *columns], names=schema.names)
+            rows = [(named(x), len(x), set_print(x, words)) for x in map(shingles, b.column(1).to_pylist())]
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -121,12 +162,29 @@ def block(fps: np.ndarray, tree: int, blocks: int) -> np.ndarray:
     return ((fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.uint64)
 
 
-def grow(sample: np.ndarray, blocks: int, leaves: int, radius: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A tree for each block: vantage point, boundary and first child of each node (0: a leaf)."""
+def set_words(prints: list[bytes], words: int) -> np.ndarray:
+    """A row for each fingerprint of a shingle set, a column for each word."""
+    return np.frombuffer(b"".join(prints), dtype="<u8").reshape(-1, words) if prints else np.zeros((0, words), dtype=np.uint64)
+
+
+def set_blocks(x: np.ndarray, blocks: int, bits: int) -> list[np.ndarray]:
+    """The values of each block of the fingerprints ``x``, rows of words."""
+    out, mask = [], np.uint64((1 << bits) - 1)
+    for low in range(0, blocks * bits, bits):
+        i, at = divmod(low, 64)
+        value = x[:, i] >> np.uint64(at)
+        if at + bits > 64:
+            value = value | (x[:, i + 1] << np.uint64(64 - at))
+        out.append(value & mask)
+    return out
+
+
+def grow(samples: list[np.ndarray], leaves: int, radius: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A tree for each block's sample: vantage point, boundary and first child of each node (0: a leaf)."""
     trees, rng = [], np.random.default_rng(0)
-    for tree in range(blocks):
+    for sample in samples:
         point, bound, child = [0], [0], [0]
-        queue = [(0, np.unique(block(sample, tree, blocks)), leaves)]
+        queue = [(0, np.unique(sample), leaves)]
         while queue:
             node, x, want = queue.pop()
             if want < 2 or len(x) < 8:
@@ -193,28 +251,26 @@ def near(own: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray,
     return spanning(every, a, b) if len(a) >= len(every) else (a, b)
 
 
-def candidates(own: tuple, others: tuple, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes within ``radius`` whose counts allow a link, or a spanning forest of them.
+def candidates(own: tuple, others: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that differ in at most WITHIN bits and whose sizes allow a link, or a spanning forest of them.
 
-    ``own`` and ``others`` hold fingerprint, node, size and counts of each row. If the
-    counts differ by d, the Jaccard is (sizes - d) / (sizes + d) at most.
+    ``own`` and ``others`` hold the fingerprints' first words, the node and the size of each row.
     """
-    (fp, node, size, bins), (o_fp, o_node, o_size, o_bins) = own, others
+    (x, node, size), (o_x, o_node, o_size) = own, others
     every = np.unique(np.concatenate([node, o_node]))
     at, o_at, label = np.searchsorted(every, node), np.searchsorted(every, o_node), np.arange(len(every))
-    step = max(1, (1 << 21) // max(1, len(o_fp)))
+    step = max(1, (1 << 20) // max(1, len(o_x)))
     a, b, most = node[:0], node[:0], max(PAIRS, 4 * len(every))
-    less, more = SIMILAR[1] - SIMILAR[0], SIMILAR[1] + SIMILAR[0]
-    for k in range(0, len(fp), step):
-        i, j = np.nonzero(np.bitwise_count(fp[k : k + step, None] ^ o_fp[None, :]) <= radius)
+    for k in range(0, len(x), step):
+        apart = np.bitwise_count(x[k : k + step, None, 0] ^ o_x[None, :, 0]) + np.bitwise_count(x[k : k + step, None, 1] ^ o_x[None, :, 1])
+        i, j = np.nonzero(apart <= HALF)
         i += k
         for m in range(0, len(i), 1 << 16):
-            x, y = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
-            apart = label[at[x]] != label[o_at[y]]
-            x, y = x[apart], y[apart]
-            d = np.abs(bins[x].astype(np.int16) - o_bins[y]).sum(1, dtype=np.int64)
-            allowed = more * d <= less * (size[x] + o_size[y])
-            a, b = np.concatenate([a, node[x[allowed]]]), np.concatenate([b, o_node[y[allowed]]])
+            p, q = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
+            likely = (label[at[p]] != label[o_at[q]]) & (SIMILAR[1] * np.minimum(size[p], o_size[q]) >= SIMILAR[0] * np.maximum(size[p], o_size[q]))
+            p, q = p[likely], q[likely]
+            found = np.bitwise_count(x[p] ^ o_x[q]).sum(1) <= WITHIN
+            a, b = np.concatenate([a, node[p[found]]]), np.concatenate([b, o_node[q[found]]])
             if len(a) > most:
                 a, b = spanning(every, a, b)
                 label = merged(label, np.searchsorted(every, a), np.searchsorted(every, b))
@@ -256,49 +312,78 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, sets: bool = False) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Pairs (a, b) of fingerprints within ``radius`` whose components are those of all such pairs.
 
-    ``distinct`` has one row for each fingerprint, in ``fp``. With ``sets`` it has one
-    for each node and fingerprint, and the pairs are candidates, of nodes.
+    ``distinct`` has one row for each fingerprint, in ``fp``.
+    """
+    reach = radius // blocks
+
+    def compare(t: pa.Table) -> pa.Table:
+        fps, own = t["fp"].to_numpy().view(np.uint64), t["own"].to_numpy()
+        a, b = near(fps[own > 0], fps[own != 1], radius)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    prints = lambda column: column.to_numpy(zero_copy_only=False).view(np.uint64)
+    split = lambda column: [block(prints(column), t, blocks) for t in range(blocks)]
+    rows = dealt(distinct.select(F.col("fp").alias("print"), "fp"), ["fp"], "fp", split, reach, LEAF)
+    return rows.groupBy("leaf", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def candidate_links(distinct: DataFrame, blocks: int, bits: int, words: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes, or a spanning forest of those of a dense task; ``distinct`` is of ``shingle_sets``."""
+    kept = [f"w{k}" for k in range(WORDS)]
+
+    def compare(t: pa.Table) -> pa.Table:
+        own, x = t["own"].to_numpy(), np.column_stack([t[w].to_numpy() for w in kept]).view(np.uint64)
+        columns = x, t["node"].to_numpy().view(np.uint64), t["size"].to_numpy()
+        a, b = candidates(tuple(c[own > 0] for c in columns), tuple(c[own != 1] for c in columns))
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = set_words(b.column(0).to_pylist(), words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x[:, k]) for k in range(WORDS))], names=["print", "node", "size", *kept])
+
+    split = lambda column: set_blocks(set_words(column.to_pylist(), words), blocks, bits)
+    wide = distinct.select("print", "node", "size").mapInArrow(first, f"print binary, node long, size long, {', '.join(f'{w} long' for w in kept)}")
+    rows = dealt(saved(wide), [*kept, "node", "size"], "node", split, 0, SET_LEAF)
+    return rows.groupBy("leaf", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def dealt(distinct: DataFrame, kept: list[str], name: str, split: Callable, reach: int, wanted: int) -> DataFrame:
+    """The rows of every task: the columns ``kept``, leaf, i, j and own (1: own, 0: other, 2: both).
+
+    ``split`` gives each tree's bits of a column of fingerprints, ``print``; ``name`` is
+    what tells rows apart, ``reach`` how far over a boundary a row visits, ``wanted``
+    the rows of a leaf.
     """
-    kept = ["fp", *["node", "size", "bins"] * sets]
-    name = "node" if sets else "fp"
     n = distinct.count()
     size = min(MOST, max(SAMPLE, n // SAMPLE_SHARE))
-    sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], dtype=np.int64).view(np.uint64)
-    reach = radius // blocks
-    trees = grow(sample, blocks, max(1, n * blocks // (2 * LEAF)), reach)
+    sample = distinct.select("print").orderBy(F.xxhash64("print"), "print").limit(size).toArrow()["print"].combine_chunks()
+    trees = grow(split(sample), max(1, n // wanted), reach)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False)
-            for t in range(blocks):
-                row, leaf, own = descend(block(fps.view(np.uint64), t, blocks), trees[t], reach)
-                yield pa.RecordBatch.from_arrays([*b.take(pa.array(row)).columns, pa.array(leaf.astype(np.int32) * blocks + t), pa.array(own)], names=[*kept, "leaf", "own"])
-
-    placed = saved(distinct.select(*kept).mapInArrow(place, f"fp long, {'node long, size long, bins binary, ' * sets}leaf int, own boolean"))
-    # The leaves' sizes: as many rows as the trees have leaves, at most blocks * MOST / 4.
-    sizes = placed.groupBy("leaf").agg(F.sum(F.col("own").cast("int")).alias("home"), F.count("*").alias("members"))
-    sizes = sizes.select("leaf", F.ceil(F.col("home") / HOME).cast("int").alias("b"), F.ceil(F.col("members") / MEMBERS).cast("int").alias("c"))
-    rows = placed.join(F.broadcast(sizes.where("b > 0")), "leaf").withColumn("h", F.xxhash64(name))
+            rest = b.select(kept).columns
+            for t, bits in enumerate(split(b.column(0))):
+                row, leaf, own = descend(bits, trees[t], reach)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in rest), pa.array(leaf.astype(np.int32) * len(trees) + t), pa.array(own)], names=[*kept, "leaf", "home"])
+
+    # Placing a row is cheap, so it is done again rather than written: once for the leaves' sizes, once for the tasks.
+    kinds = "".join(f"{c} {distinct.schema[c].dataType.simpleString()}, " for c in kept)
+    placed = distinct.select("print", *kept).mapInArrow(place, f"{kinds}leaf int, home boolean")
+    # As many rows as the trees have leaves. They are broadcast only if they are few.
+    sizes = placed.groupBy("leaf").agg(F.sum(F.col("home").cast("int")).alias("home"), F.count("*").alias("members"))
+    sizes = few(sizes.select("leaf", F.ceil(F.col("home") / HOME).cast("int").alias("b"), F.ceil(F.col("members") / MEMBERS).cast("int").alias("c")).where("b > 0"))
+    rows = placed.join(sizes, "leaf").withColumn("h", F.xxhash64(name))
     every_own, every_other = F.sequence(F.lit(0), F.col("b") - 1), F.sequence(F.lit(0), F.col("c") - 1)
     mine, chunk = F.pmod("h", F.col("b")).cast("int"), F.pmod(F.shiftright("h", 20), F.col("c")).cast("int")
-    as_own = F.transform(every_other, lambda j: F.struct(mine.alias("i"), j.alias("j"), F.lit(True).alias("own")))
-    as_other = F.transform(every_own, lambda i: F.struct(i.alias("i"), chunk.alias("j"), F.lit(False).alias("own")))
-    dealt = rows.select(*kept, "leaf", F.explode(F.when(F.col("own"), F.concat(as_own, as_other)).otherwise(as_other)).alias("p")).select(*kept, "leaf", "p.*")
-
-    def compare(t: pa.Table) -> pa.Table:
-        fps, own = t["fp"].to_numpy().view(np.uint64), t["own"].to_numpy()
-        if sets:
-            bins = np.frombuffer(b"".join(t["bins"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-            columns = fps, t["node"].to_numpy().view(np.uint64), t["size"].to_numpy(), bins
-            a, b = candidates(tuple(c[own] for c in columns), tuple(c[~own] for c in columns), radius)
-        else:
-            a, b = near(fps[own], fps[~own], radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return dealt.groupBy("leaf", "i", "j").applyInArrow(compare, "a long, b long")
+    as_own = F.transform(every_other, lambda j: F.struct(mine.alias("i"), j.alias("j"), F.when(j == chunk, 2).otherwise(1).alias("own")))
+    as_other = F.transform(every_own, lambda i: F.struct(i.alias("i"), chunk.alias("j"), F.lit(0).alias("own")))
+    at_home = F.concat(as_own, F.filter(as_other, lambda p: p["i"] != mine))
+    return rows.select(*kept, "leaf", F.explode(F.when(F.col("home"), at_home).otherwise(as_other)).alias("p")).select(*kept, "leaf", "p.*")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -367,23 +452,40 @@ def confirmed(clusters: DataFrame, nodes: DataFrame, df: DataFrame, key: str, te
     # Rows of one key may have different texts: only the wanted nodes stay, once.
     texts = given.join(keys, F.col("key").eqNullSafe(F.col("least_key")), "left_semi").select("text")
     sets = texts.mapInArrow(read, "node long, set array<long>").dropDuplicates(["node"])
-    placed = wanted.join(F.broadcast(large), "component", "left").withColumn("b", F.coalesce("b", F.lit(1)))
+    placed = wanted.join(few(large), "component", "left").withColumn("b", F.coalesce("b", F.lit(1)))
     placed = placed.select("component", "node", "size", "b", F.pmod(F.xxhash64("node"), F.col("b")).cast("int").alias("mine"))
     dealt = sets.join(placed, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
     dealt = dealt.select("component", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "size", "set")
     return dealt.groupBy("component", "i", "j").applyInArrow(similar, "a long, b long")
 
 
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, confirm: bool = False) -> DataFrame:
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """key, ``fp`` and ``component_id`` (the least key reachable over links) of each row."""
-    prints = saved(fingerprints(df, key, text, shingle, confirm))
-    node = "node" if confirm else "fp"
-    nodes = saved(prints.groupBy(node).agg(F.min("key").alias("least"), *[F.first("size").alias("size")] * confirm))
-    edges = links(saved(prints.select("fp", "node", "size", "bins").dropDuplicates(["node", "fp"])) if confirm else nodes, radius, blocks, confirm)
-    if confirm:
-        edges = confirmed(components(edges), nodes, df, key, text)
-    found = components(edges).withColumnRenamed("node", "of")
-    classed = nodes.join(found, nodes[node] == found["of"], "left").select(node, "least", F.coalesce("component", node).alias("class"))
-    named_ = classed.groupBy("class").agg(F.min("least").alias("component_id"))
-    of = classed.join(named_, "class").select(node, "component_id")
-    return prints.join(of, node).select(F.col("key").alias(key), "fp", "component_id")
+    prints = saved(fingerprints(df, key, text, shingle))
+    nodes = saved(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    of = classes(nodes, "fp", components(links(nodes, radius, blocks)))
+    return prints.join(of, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def similar_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and ``component_id`` (the least key reachable over texts of a Jaccard of SIMILAR or more) of each row."""
+    blocks, bits = layout(df.count())
+    words = max(WORDS, -(-blocks * bits // 64))
+    found = saved(shingle_sets(df, words, key, text))
+    nodes = saved(found.groupBy("node").agg(F.min("key").alias("least"), F.first("size").alias("size"), F.first("print").alias("print")))
+    clusters = components(candidate_links(nodes, blocks, bits, words))
+    edges = confirmed(clusters, nodes.select("node", "least", "size"), df, key, text)
+    of = classes(nodes.select("node", "least"), "node", components(edges))
+    return found.select("key", "node").join(of, "node").select(F.col("key").alias(key), "component_id")
+
+
+def classes(nodes: DataFrame, node: str, found: DataFrame) -> DataFrame:
+    """``node`` and the least key of its component; ``nodes`` has node and least, ``found`` is of ``components``.
+
+    Both sides are written: with no aggregate between the shuffle and the join, a class
+    with many nodes can be split.
+    """
+    found = found.withColumnRenamed("node", "of")
+    classed = saved(nodes.join(found, nodes[node] == found["of"], "left").select(node, "least", F.coalesce("component", node).alias("class")))
+    named_ = saved(classed.groupBy("class").agg(F.min("least").alias("component_id")))
+    return saved(classed.join(named_, "class").select(node, "component_id"))
