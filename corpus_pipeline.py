@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from orderflow.llm import language, packing, quality, simhash
 
-#: Of texts that share 0.8 of their five-word shingles, pairs of up to 11 bits were measured; see the README. Thirteen costs no more than twelve: one of seven blocks differs in one bit at most.
-RADIUS, BLOCKS = 13, 7
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -30,20 +28,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the least doc_id, then the least hash of its text.
+    """One document of each component of texts that share 0.8 of their five-word shingles: that with the least doc_id, then the least hash of its text.
 
     Documents without a doc_id come after all others; of equal rows one stays.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
     keyed = docs.select(*COLUMNS, order.alias("key"))
-    found = simhash.near_copies(keyed, "key", radius=RADIUS, blocks=BLOCKS, confirm=True)
+    found = simhash.similar_copies(keyed, "key")
     least = found.where("key = component_id").select("key").distinct()
     return keyed.join(least, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document, with its sequence and place."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)
 
 
 STAGES = [
