@@ -15,12 +15,20 @@ def _strings(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def _read(df: DataFrame, value: str, names, *kept) -> DataFrame:
+    """One string column for each name, and the columns of ``kept``.
+
+    A generator holds the parsed record, so filters and projections above it use its
+    columns: each message is parsed once, whatever is asked of it.
+    """
+    return df.select(*kept, F.inline(F.array(F.from_json(value, _strings(names)))))
+
+
 def _orders(df: DataFrame, value: str, wire: dict[str, str], numbers: dict[str, str], schema: T.StructType) -> DataFrame:
-    read = df.select(F.col(value).alias("value"), F.from_json(value, _strings(wire)).alias("r"))
+    read = _read(df, value, wire, F.col(value).alias("value"))
     columns = {}
     for key, name in wire.items():
-        field = F.col("r")[key]
-        columns[name] = F.expr(f"try_cast(r.`{key}` as {numbers[name]})") if name in numbers else F.coalesce(field, F.lit(""))
+        columns[name] = F.col(key).try_cast(numbers[name]) if name in numbers else F.coalesce(key, F.lit(""))
     bad = [F.when(columns[n].isNull(), F.lit(n)) for n in numbers]
     reason = F.nullif(F.concat_ws(",", *bad), F.lit(""))
     return read.select(*(columns[f.name].cast(f.dataType).alias(f.name) for f in schema.fields), reason.alias(REASON), "value")
@@ -50,10 +58,9 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 def parse(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """Any record bound by field name; longs may be written as strings."""
-    longs = {f.name for f in schema.fields if isinstance(f.dataType, (T.LongType, T.IntegerType, T.DoubleType))}
-    read = df.select(F.from_json(value, _strings(f.name for f in schema.fields)).alias("r"))
-    get = lambda f: F.expr(f"try_cast(r.`{f.name}` as {f.dataType.simpleString()})") if f.name in longs else F.col("r")[f.name]
-    return read.select(*(get(f).alias(f.name) for f in schema.fields))
+    numbers = (T.LongType, T.IntegerType, T.DoubleType)
+    get = lambda f: F.col(f.name).try_cast(f.dataType) if isinstance(f.dataType, numbers) else F.col(f.name)
+    return _read(df, value, schema.names).select(*(get(f).alias(f.name) for f in schema.fields))
 
 
 def parse_logs(df: DataFrame, value: str = "value") -> DataFrame:
