@@ -15,19 +15,15 @@ from ..schemas import PAGE_VIEW_ALERT
 from .logs import abnormal
 
 
-def _blocked(df: DataFrame, within_ms: int) -> DataFrame:
-    """Time blocks for unkeyed runs: each row also stands in the block before its own, as what may end a match there."""
-    own = F.floor(F.col("ct") / within_ms)
-    return df.withColumns({"_own": own, "_block": F.explode(F.array(own, own - 1))})
-
-
 def _islands(df: DataFrame, keys: list[str], low: int, high: int, within_ms: int, tie: str) -> tuple[DataFrame, list[str]]:
-    """Abnormal rows with their island and place; without keys, by time block."""
-    df = df.withColumn("_bad", abnormal(low, high))
-    if not keys:
-        df, keys = _blocked(df, within_ms), ["_block"]
-    else:
-        df = df.withColumns({"_own": F.lit(0), "_block": F.lit(0)})
+    """Abnormal rows with their island and place in (keys, time block).
+
+    Each row also stands in the block before its own, as what may end a match that
+    starts there; so neither a busy key nor a run without keys is one task.
+    """
+    own = F.floor(F.col("ct") / within_ms)
+    df = df.withColumns({"_bad": abnormal(low, high), "_own": own, "_block": F.explode(F.array(own, own - 1))})
+    keys = [*keys, "_block"]
     w = W.partitionBy(*keys).orderBy("ct", tie)
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumns({"_island": F.sum((~F.col("_bad")).cast("long")).over(so_far), "_pos": F.row_number().over(w).cast("long")})
@@ -41,8 +37,8 @@ def alerts(df: DataFrame, times: int = 2, within_ms: int = 180_000, low: int = 5
     starts = (F.lead("ct", times - 1).over(w) - F.col("ct") < within_ms) & (F.col("_own") == F.col("_block"))
     bad = bad.withColumn("_starts", F.coalesce(starts, F.lit(False)).cast("int"))
     hit = F.max("_starts").over(w.rowsBetween(-(times - 1), 0)) == 1
-    found = bad.withColumn("_hit", hit).where("_hit").select(*PAGE_VIEW_ALERT.names, *([tie] if tie not in PAGE_VIEW_ALERT.names else []))
-    return found if keys else found.distinct()
+    found = bad.withColumn("_hit", hit).where("_hit")
+    return found.select(*PAGE_VIEW_ALERT.names, *([tie] if tie not in PAGE_VIEW_ALERT.names else [])).distinct()
 
 
 def matches(df: DataFrame, times: int = 2, within_ms: int = 180_000, low: int = 5, high: int = 50, keys: list[str] = ("userID",), tie: str = "sid") -> DataFrame:

@@ -1,32 +1,37 @@
 """Enrichment of orders from the product and hotel dimensions.
 
 Dimensions are reduced to one row for each key. They are broadcast only if Spark's own
-size estimate is under a bound; beyond it the join shuffles and AQE splits hot keys.
+estimate of their bytes is under a bound; beyond it, or where Spark can't tell (a JDBC
+table that isn't cached), the join shuffles, and AQE splits hot keys or still broadcasts
+what turns out small.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..schemas import PRODUCT_COLUMNS, PUB_COLUMNS
 
-BROADCAST_ROWS = 2_000_000
+#: Estimated bytes up to which a dimension is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def dedup(dim: DataFrame, key: str, latest: str | None = None) -> DataFrame:
-    """One row for each key: the last by ``latest``, else the greatest by all columns. Null keys match nothing and go."""
+    """One row for each key: the last by ``latest``, else the greatest by all columns. Null keys match nothing and go.
+
+    The greatest struct is summed before the shuffle, so a key with many versions is no burden.
+    """
     rest = [c for c in dim.columns if c != key]
-    order = [F.desc_nulls_last(latest)] if latest else []
-    order += [F.desc_nulls_last(c) for c in rest]
-    n = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return dim.where(F.col(key).isNotNull()).withColumn("_n", n).where("_n = 1").drop("_n")
+    order = [F.col(latest).alias("_latest")] if latest else []
+    last = F.max(F.struct(*order, *rest)).alias("_last")
+    return dim.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, *(F.col("_last")[c].alias(c) for c in rest)).select(*dim.columns)
 
 
-def sized(dim: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a dimension for broadcast if it has no more rows than that."""
-    return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
+def sized(dim: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a dimension for broadcast if Spark estimates no more bytes than that; runs no job."""
+    estimate = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(dim) if estimate <= most else dim
 
 
 def _product(dim: DataFrame, latest: str | None) -> DataFrame:

@@ -60,14 +60,45 @@ def wide_type(df: DataFrame, size: str = "10 seconds", time: str = "event_time")
     return _windowed(df, ["productType", "toursimType"], F.window(time, size), m4(), True, True)
 
 
-def session_traffic(df: DataFrame, gap: str) -> DataFrame:
-    return _windowed(df, ["traffic"], F.session_window("event_time", gap), m4(), True, True)
+def session_traffic(df: DataFrame, gap: str, block_ms: int = 86_400_000) -> DataFrame:
+    """Sessions of each traffic kind: orders at most ``gap`` apart.
+
+    In a batch, sessions are first built inside time blocks, so the few traffic kinds
+    are spread over many tasks; then sessions that touch are joined, a row for each.
+    """
+    if df.isStreaming:
+        return _windowed(df, ["traffic"], F.session_window("event_time", gap), m4(), True, True)
+    part = df.groupBy(F.floor(F.unix_millis("event_time") / block_ms).alias("_block"), "traffic", F.session_window("event_time", gap).alias("w")).agg(*m4())
+    part = part.select("traffic", F.col("w.start").alias("s"), F.col("w.end").alias("e"), "orders", "maxFee", "totalFee", "members")
+    by_time = W.partitionBy("traffic").orderBy("s", "e")
+    apart = F.coalesce(F.col("s") > F.max("e").over(by_time.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    joined = part.withColumn("_new", apart.cast("long")).withColumn("_session", F.sum("_new").over(by_time.rowsBetween(W.unboundedPreceding, 0)))
+    sums = [F.sum("orders").alias("orders"), F.max("maxFee").alias("maxFee"), F.sum("totalFee").alias("totalFee"), F.sum("members").alias("members")]
+    out = joined.groupBy("traffic", "_session").agg(F.min("s").alias("s"), F.max("e").alias("e"), *sums)
+    fields = ["orders", "maxFee", "totalFee", "members"]
+    return out.select("traffic", F.unix_millis("s").alias("startWindowTime"), (F.unix_millis("e") - 1).alias("endWindowTime"), *fields, div(F.col("totalFee"), F.col("orders")).alias("avgFee"))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, block_ms: int = 3_600_000) -> DataFrame:
+    """``df`` with each row's place (from 0) among the rows of its key, whose time comes first in ``order``.
+
+    Rows are numbered inside (key, time block); the blocks' counts, summed over the
+    blocks before, give each block its first place. So a key with most of the rows is
+    numbered in as many tasks as it has blocks.
+    """
+    blocked = df.withColumn("_block", F.floor(F.unix_millis("event_time") / block_ms))
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    counts = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    counts = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    local = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*order)).cast("long") - 1
+    out = blocked.withColumn(name, local).join(counts, [*same, F.col("_block") == F.col("_kb")])
+    return out.withColumn(name, F.col(name) + F.col("_first")).select(*df.columns, name)
 
 
-def count_windows(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+def count_windows(df: DataFrame, keys: list[str], n: int, block_ms: int = 3_600_000) -> DataFrame:
     """M4 of every ``n`` orders of a key, in the order of (ct, orderID); a last short batch is not returned."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy("ct", "orderID"))
-    batches = df.withColumn("batch", F.floor((rank - 1) / n)).groupBy(*keys, "batch").agg(*m4()).where(F.col("orders") == n)
+    batches = ranked(df, keys, ["ct", "orderID"], "_place", block_ms).withColumn("batch", F.floor(F.col("_place") / n)).groupBy(*keys, "batch").agg(*m4()).where(F.col("orders") == n)
     fields = ["orders", "maxFee", "totalFee", "members"]
     return batches.select(*keys, "batch", F.lit(0).cast("long").alias("startWindowTime"), F.lit(MAX_LONG).alias("endWindowTime"), *fields, div(F.col("totalFee"), F.col("orders")).alias("avgFee"))
 
