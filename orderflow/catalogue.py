@@ -110,9 +110,11 @@ def q_key_sanitize(spark, d):
     return a.event_logs(spark, d).select("sid", key_sanitize("userRegionIP").alias("key"))
 
 
-@query("key_partition")
+@query("key_partition", a.with_sql(f"""SELECT "orderID", CASE WHEN h > 2147483648 THEN 4294967296 - h ELSE h END % 12 AS partition FROM (
+  SELECT "orderID", list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(md5("productID" || traffic), ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda a, x: (a * 31 + x) % 4294967296) AS h FROM event_orders)""", "event_orders"))
 def q_key_partition(spark, d):
-    return a.event_orders(spark, d).select("orderID", key_partition("orderID", "userID", 12).alias("partition"))
+    o = a.event_orders(spark, d).withColumn("key", key_md5("productID", "traffic"))
+    return o.select("orderID", key_partition("key", "userID", 12).alias("partition"))
 
 
 @query("json_out", a.with_sql("""SELECT '{"orderID":"' || "orderID" || '","fee":' || fee || ',"ct":"' || ct || '"}' AS value FROM event_orders""", "event_orders"))
@@ -206,9 +208,19 @@ def join_product_inner(spark, d):
     return _star(enrich.join_product_inner(a.star_orders(spark, d), a.products(spark, d)), *WIDE_COLUMNS)
 
 
-@query("join_product_unmatched", a.with_sql(f"""SELECT {STAR} FROM wide WHERE "productType" = '-1'""", "star_orders", "products", "wide", orders="star_orders"))
+@query("join_product_unmatched", a.with_sql(f"""SELECT {STAR} FROM event_orders WHERE "pubID" NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)""", "event_orders"))
 def join_product_unmatched(spark, d):
-    return _star(enrich.unmatched_products(a.star_orders(spark, d), a.products(spark, d)))
+    """Orders of a user's own hotel; there are more users than hotels."""
+    hotel = a.event_orders(spark, d).withColumns({"own": F.col("productID"), "productID": F.col("pubID")})
+    return _star(enrich.unmatched_products(hotel, a.hotel_products(spark, d)).withColumn("productID", F.col("own")))
+
+
+@query("join_hotel_left", a.with_sql(f"""SELECT {STAR}, CASE WHEN s_suppkey IS NULL THEN '-1' ELSE s_name END AS "productType", CASE WHEN s_suppkey IS NULL THEN -1 ELSE s_nationkey % 5 END AS "productLevel"
+FROM event_orders LEFT JOIN supplier ON "pubID" = CAST(s_suppkey AS VARCHAR)""", "event_orders"))
+def join_hotel_left(spark, d):
+    """The left join where some orders have no match."""
+    hotel = a.event_orders(spark, d).withColumns({"own": F.col("productID"), "productID": F.col("pubID")})
+    return _star(enrich.join_product_left(hotel, a.hotel_products(spark, d)).withColumn("productID", F.col("own")), "productType", "productLevel")
 
 
 @query("join_product_pub", a.with_sql(f"""SELECT {STAR}, coalesce(product_level, 0) AS "productLevel", coalesce(product_type, '') AS "productType", coalesce(toursim_tickets_type, '') AS "toursimType",

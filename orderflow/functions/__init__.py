@@ -41,9 +41,16 @@ def key_sanitize(name: str) -> Column:
     return F.regexp_replace(name, r"\.", "_")
 
 
+def key_hash(key: str) -> Column:
+    """The key's 32-bit hash, h = 31 h + character over its characters, without its sign."""
+    letters = F.filter(F.split(key, ""), lambda c: c != "")
+    h = F.aggregate(letters, F.lit(0).cast("long"), lambda a, c: (a * 31 + F.ascii(c)) % (1 << 32))
+    return F.when(h > 1 << 31, (1 << 32) - h).otherwise(h)
+
+
 def key_partition(key: str, value: str, partitions: int) -> Column:
     """The partition of a message; null values go to the last."""
-    return F.when(F.col(value).isNull(), F.lit(partitions - 1)).otherwise(F.pmod(F.hash(key), F.lit(partitions)))
+    return F.when(F.col(value).isNull(), F.lit(partitions - 1)).otherwise(key_hash(key) % partitions).cast("long")
 
 
 def json_out(df: DataFrame) -> Column:

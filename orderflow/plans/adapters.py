@@ -62,10 +62,8 @@ def star_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_event_time(out)
 
 
-def products(spark: SparkSession, sf_dir: str, all_rows: bool = False) -> DataFrame:
-    p = _table(spark, sf_dir, "part")
-    p = p if all_rows else p.where("p_partkey % 7 <> 0")
-    return p.select(
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("product_id"), F.col("p_size").cast("int").alias("product_level"), F.col("p_type").alias("product_type"),
         F.concat(F.lit("D"), F.expr("p_partkey % 10").cast("string")).alias("departure_code"), F.concat(F.lit("E"), F.expr("p_partkey % 7").cast("string")).alias("des_city_code"),
         F.col("p_brand").alias("toursim_tickets_type"),
@@ -74,11 +72,20 @@ def products(spark: SparkSession, sf_dir: str, all_rows: bool = False) -> DataFr
 
 def pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: F.expr(c).cast("string")
-    return _table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(
+    return _table(spark, sf_dir, "supplier").select(
         s("s_suppkey").alias("pub_id"), F.col("s_name").alias("pub_name"), s("s_nationkey % 5").alias("pub_star"), s("s_suppkey % 3").alias("pub_grade"), s("s_nationkey < 13").alias("is_national"),
     )
 
 
+def hotel_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hotels as products; events have users beyond them, so orders of a user's own hotel may have no match."""
+    s = lambda c: F.expr(c).cast("string")
+    return _table(spark, sf_dir, "supplier").select(
+        s("s_suppkey").alias("product_id"), F.expr("s_nationkey % 5").cast("int").alias("product_level"), F.col("s_name").alias("product_type"),
+        F.concat(F.lit("D"), s("s_suppkey % 10")).alias("departure_code"), F.concat(F.lit("E"), s("s_suppkey % 7")).alias("des_city_code"), F.lit("hotel").alias("toursim_tickets_type"),
+    )
+
+
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Behaviour logs (VIEW_LIST columns) from ``events``; clicks, list views and page views."""
     e = _table(spark, sf_dir, "events").withColumns({"k": _k(), "ct": _ms("ts")})
@@ -127,10 +134,10 @@ SQL = {
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""",
     "products": """products AS (
   SELECT CAST(p_partkey AS VARCHAR) AS product_id, CAST(p_size AS INTEGER) AS product_level, p_type AS product_type, 'D' || (p_partkey % 10) AS departure_code,
-    'E' || (p_partkey % 7) AS des_city_code, p_brand AS toursim_tickets_type FROM part WHERE p_partkey % 7 <> 0)""",
+    'E' || (p_partkey % 7) AS des_city_code, p_brand AS toursim_tickets_type FROM part)""",
     "pubs": """pubs AS (
   SELECT CAST(s_suppkey AS VARCHAR) AS pub_id, s_name AS pub_name, CAST(s_nationkey % 5 AS VARCHAR) AS pub_star, CAST(s_suppkey % 3 AS VARCHAR) AS pub_grade,
-    CASE WHEN s_nationkey < 13 THEN 'true' ELSE 'false' END AS is_national FROM supplier WHERE s_suppkey % 5 <> 0)""",
+    CASE WHEN s_nationkey < 13 THEN 'true' ELSE 'false' END AS is_national FROM supplier)""",
     "event_logs": f"""event_logs AS (
   SELECT CAST(event_id AS VARCHAR) AS sid, CAST(user_id % 7 AS VARCHAR) AS "userDevice", CAST(user_id AS VARCHAR) AS "userID", 'R' || (user_id % 10) AS "userRegion",
     '10.0.0.' || (user_id % 10) AS "userRegionIP", CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS duration, CAST(floor(value) AS BIGINT) AS seconds, k, 'P' || k AS "targetID", '0' || (k % 3) AS "eventTargetType",
