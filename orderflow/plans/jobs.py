@@ -1,14 +1,22 @@
-"""The job catalogue: each job is a DataFrame-to-DataFrame pipeline over raw messages in ``value``."""
+"""The job catalogue: each job is a DataFrame-to-DataFrame pipeline over raw messages in ``value``.
+
+All of them take a batch or a stream; where Spark's batch form can't run on a stream,
+the job takes the operator's stream form. ``start`` runs a job's stream into a sink.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions import fmt_iso, key_concat
 from ..functions.parse import accepted, parse_logs, parse_orders, parse_view_list
 from ..operators import cep, enrich, logs, ranking, triggers, windows
-from ..streaming import sinks
+from ..sources import Refreshed
+from ..streaming import aggregates, sinks, stateful
 
 
 def orders_of(raw: DataFrame) -> DataFrame:
@@ -33,8 +41,10 @@ def list_view_messages(raw: DataFrame) -> DataFrame:
 
 
 def dwell_alerts(raw: DataFrame, **options) -> DataFrame:
-    views = logs.page_view_exts(logs.page_views(parse_logs(raw)))
-    return sinks.messages(cep.alerts(views, **options).drop("sid"), "page_view_alert")
+    """Options are those of ``cep.alerts``; ``keys=[]`` runs over all views."""
+    views = windows.with_event_time(logs.page_view_exts(logs.page_views(parse_logs(raw))))
+    found = stateful.cep_alerts(views, **options) if raw.isStreaming else cep.alerts(views, **options)
+    return sinks.messages(found.drop("sid"), "page_view_alert")
 
 
 def order_detail_messages(raw: DataFrame) -> DataFrame:
@@ -58,7 +68,9 @@ def order_landing(raw: DataFrame) -> DataFrame:
 
 
 def region_cache(raw: DataFrame, size: str = "10 seconds") -> DataFrame:
-    return sinks.key_values(windows.region_traffic(orders_of(raw), size), "userRegion", "traffic")
+    """key and value of each region's latest window; on a stream of each window that changes, for ``sinks.to_store``."""
+    out = windows.region_traffic(orders_of(raw), size)
+    return sinks.keyed(out, "userRegion", "traffic") if raw.isStreaming else sinks.key_values(out, "userRegion", "traffic")
 
 
 def region_documents(raw: DataFrame, size: str = "10 seconds") -> DataFrame:
@@ -76,17 +88,53 @@ def departure_totals(raw: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def hourly_by_count(raw: DataFrame, size_ms: int = 60_000, n: int = 50) -> DataFrame:
-    return triggers.stat_count(orders_of(raw), size_ms, n).withColumn("id", F.concat_ws("_", "traffic", "etTime"))
+    form = stateful.stat_count if raw.isStreaming else triggers.stat_count
+    return form(orders_of(raw), size_ms, n).withColumn("id", F.concat_ws("_", "traffic", "etTime"))
 
 
 def hourly_by_time(raw: DataFrame, interval_ms: int = 60_000) -> DataFrame:
-    return triggers.stat_time(orders_of(raw), interval_ms)
+    """Totals at the end of each interval; on a stream the totals so far, shown at each trigger of the query in update mode."""
+    return aggregates.stat_time(orders_of(raw)) if raw.isStreaming else triggers.stat_time(orders_of(raw), interval_ms)
 
 
 def count_or_interval(raw: DataFrame, products: DataFrame, interval_ms: int, n: int) -> DataFrame:
-    return triggers.stat_count_or_time(enrich.join_product_left(orders_of(raw), products), interval_ms, n)
+    form = stateful.stat_count_or_time if raw.isStreaming else triggers.stat_count_or_time
+    return form(enrich.join_product_left(orders_of(raw), products), interval_ms, n)
+
+
+def region_by_count(raw: DataFrame, n: int) -> DataFrame:
+    form = stateful.count_windows if raw.isStreaming else windows.count_windows
+    return form(orders_of(raw), ["userRegion", "traffic"], n)
+
+
+def type_by_count(raw: DataFrame, products: DataFrame, n: int) -> DataFrame:
+    form = stateful.count_windows if raw.isStreaming else windows.count_windows
+    return form(enrich.join_product_left(orders_of(raw), products), ["productType", "toursimType"], n)
 
 
 def top_products(raw: DataFrame, size: str = "10 seconds", second_ms: int = 30_000, n: int = 30) -> DataFrame:
-    best = ranking.top_per_key(windows.product_traffic(orders_of(raw), size), second_ms, n)
+    if raw.isStreaming:
+        best = aggregates.top_per_key(orders_of(raw), size, f"{second_ms} milliseconds", n)
+    else:
+        best = ranking.top_per_key(windows.product_traffic(orders_of(raw), size), second_ms, n)
     return sinks.messages(best.select("productID", "traffic", "startWindowTime", "endWindowTime", "orders", "totalFee"), "order_topn")
+
+
+def start(writer: DataStreamWriter, every: str | None = None) -> StreamingQuery:
+    """Starts a job's writer: at each processing-time interval ``every``, else over all that is there, and then ends.
+
+    ``writer`` comes from ``sinks`` or is a frame's ``writeStream`` with its checkpoint.
+    """
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def refreshed(raw: DataFrame, job: Callable[..., DataFrame], dimensions: list[Refreshed], put: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
+    """A writer that runs ``job(messages, *dimensions)`` on each micro-batch, with the dimensions read again after their time, and gives its rows to ``put``.
+
+    For jobs without state: enriched documents and messages.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        put(job(rows, *(d.get() for d in dimensions)), batch)
+
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

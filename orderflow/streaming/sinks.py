@@ -6,14 +6,11 @@ the latest row of each id, and totals are written as totals.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions import fmt_hour, json_out, key_concat, key_md5
+from ..functions import fmt_hour, json_out, key_concat, key_md5, key_partition
 
 #: The fields of each topic's message key.
 TOPIC_KEYS = {
@@ -29,20 +26,22 @@ TOPIC_KEYS = {
 }
 
 
-def messages(df: DataFrame, topic: str) -> DataFrame:
-    """key and value of a topic; raw logs are keyed by their sid."""
+def messages(df: DataFrame, topic: str, partitions: int | None = None) -> DataFrame:
+    """key and value of a topic, and the partition if their number is given; raw logs are keyed by their sid."""
     key = F.col("sid") if topic == "user_log" else key_md5(*TOPIC_KEYS[topic])
-    return df.select(key.alias("key"), json_out(df).alias("value"))
+    out = df.select(key.alias("key"), json_out(df).alias("value"))
+    return out.withColumn("partition", key_partition("key", "value", partitions).cast("int")) if partitions else out
 
 
-def to_kafka(df: DataFrame, topic: str, servers: str, checkpoint: str) -> DataStreamWriter:
-    return messages(df, topic).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
+def to_kafka(df: DataFrame, topic: str, servers: str, checkpoint: str, partitions: int | None = None) -> DataStreamWriter:
+    return messages(df, topic, partitions).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each id; rows without an id go."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(*(F.desc_nulls_last(c) for c in order)))
-    return df.where(F.col(key).isNotNull()).withColumn("_n", n).where("_n = 1").drop("_n")
+    """The last row of each id; rows without an id go. The greatest struct is summed before the shuffle."""
+    rest = [c for c in df.columns if c != key]
+    last = F.max(F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), *rest)).alias("_last")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, *(F.col("_last")[c].alias(c) for c in rest)).select(*df.columns)
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -50,56 +49,42 @@ def upserted(table: DataFrame, rows: DataFrame, key: str, order: list[str]) -> D
     return latest(table.unionByName(rows), key, order)
 
 
-def key_values(df: DataFrame, *keys: str, order: str = "startWindowTime") -> DataFrame:
-    """key and JSON value of the latest row of each key."""
-    last = latest(df.withColumn("_key", key_concat(*keys)), "_key", [order])
-    return last.select(F.col("_key").alias("key"), json_out(df).alias("value"))
+def keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``'s rows as key and JSON value, with their ``startWindowTime``."""
+    return df.select(key_concat(*keys).alias("key"), json_out(df).alias("value"), "startWindowTime")
+
+
+def key_values(df: DataFrame, *keys: str) -> DataFrame:
+    """key and JSON value of the latest window of each key."""
+    return latest(keyed(df, *keys), "key", ["startWindowTime"]).select("key", "value")
 
 
-class ParquetTable:
-    """A Parquet table that is replaced by a new version for each batch; a pointer file names the newest.
+class Upserts:
+    """A Parquet folder with the latest rows of each micro-batch; the newest row of each id is the table's.
 
-    The pointer also holds the last batch, so a batch that is run again changes nothing.
+    A batch writes a folder of its own and nothing else, and a batch that is run again
+    replaces its folder, so a restarted query leaves the table as it was.
     """
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointer(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def state(self) -> tuple[str | None, int]:
-        fs, p = self._pointer()
-        if not fs.exists(p):
-            return None, -1
-        version, batch = self.spark.read.text(p.toString()).first()[0].split(" ")
-        return version, int(batch)
-
-    def read(self) -> DataFrame | None:
-        version, _ = self.state()
-        return self.spark.read.parquet(f"{self.path}/{version}") if version else None
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        fs, p = self._pointer()
-        out = fs.create(p, True)
-        out.write(f"{version} {batch}".encode())
-        out.close()
-
-    def upsert(self, key: str, order: list[str]):
-        """A function for ``foreachBatch``."""
-
-        def run(rows: DataFrame, batch: int) -> None:
-            if batch <= self.state()[1]:
-                return
-            table = self.read()
-            rows = latest(rows, key, order)
-            self.write(rows if table is None else upserted(table, rows, key, order), batch)
-
-        return run
+    def __init__(self, spark, path: str, key: str, order: list[str]):
+        self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, order
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        """For ``foreachBatch``."""
+        latest(rows, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def read(self) -> DataFrame:
+        every = self.spark.read.parquet(self.path)
+        return latest(every, self.key, [*self.order, "batch"]).drop("batch")
+
+
+def to_store(df: DataFrame, put, checkpoint: str) -> DataStreamWriter:
+    """Writes the latest window of each key of a micro-batch: ``put(rows, batch)`` gets a frame of key, value and startWindowTime."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        put(latest(rows, "key", ["startWindowTime"]), batch)
+
+    return df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
 
 
 def landing(df: DataFrame, hour: str = "ct") -> DataFrame:

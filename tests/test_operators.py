@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from orderflow import sources
-from orderflow.functions import json_out
+from orderflow.functions import json_out, key_partition
 from orderflow.functions import parse as p
 from orderflow.operators import cep, enrich, logs, ranking, triggers, windows
 from orderflow.plans import jobs
@@ -169,14 +169,57 @@ def test_strict_bound_and_break(spark):
     assert cep.alerts(views((0, "60"), (180, "60"))).count() == 0
 
 
-def test_upsert_replays_and_key_values(spark, tmp_path):
-    t = sinks.ParquetTable(spark, f"file://{tmp_path}/t")
+def test_upsert_replays(spark, tmp_path):
+    t = sinks.Upserts(spark, f"file://{tmp_path}/t", "id", ["ct"])
     rows = lambda *x: spark.createDataFrame(list(x), "id string, v long, ct long")
-    f = t.upsert("id", ["ct"])
-    f(rows(("a", 1, 1), ("a", 2, 2), (None, 9, 9)), 0)
-    f(rows(("a", 0, 0), ("b", 5, 1)), 1)
-    f(rows(("b", 99, 99)), 1)
-    assert sorted((r["id"], r["v"]) for r in t.read().collect()) == [("a", 2), ("b", 5)]
+    t.write(rows(("a", 1, 1), ("a", 2, 2), (None, 9, 9)), 0)
+    t.write(rows(("a", 0, 0), ("b", 5, 1)), 1)
+    t.write(rows(("a", 0, 0), ("b", 5, 1)), 1)
+    t.write(rows(("b", 6, 1)), 2)
+    assert sorted((r["id"], r["v"]) for r in t.read().collect()) == [("a", 2), ("b", 6)]
+
+
+def java_hash(text):
+    h = 0
+    for c in text:
+        h = (31 * h + ord(c)) & 0xFFFFFFFF
+    return h - 2**32 if h >= 2**31 else h
+
+
+def test_partitions_of_messages(spark):
+    rows = [("polygenelubricants", "v"), ("a", "v"), ("", "v"), ("key", None), ("0cc175b9c0f1b6a831c399e269772661", "v")]
+    got = spark.createDataFrame(rows, "key string, value string").select("key", "value", key_partition("key", "value", 12).alias("p")).collect()
+    assert [r["p"] for r in got] == [abs(java_hash(k)) % 12 if v else 11 for k, v in rows] and java_hash("polygenelubricants") == -(2**31)
+    out = sinks.messages(orders(spark, order(1, 1000)), "order_detail", 7)
+    assert out.columns == ["key", "value", "partition"] and 0 <= out.first()["partition"] < 7
+
+
+def test_sessions_and_count_windows_over_block_edges(spark):
+    day = 86_400_000
+    at = [0, 9_999, 20_000, day - 6_000, day - 1, day + 5_000, day + 30_000, 2 * day - 10_000, 2 * day]
+    df = orders(spark, *(order(i, t, fee=i) for i, t in enumerate(at)))
+    whole = windows._windowed(df, ["traffic"], F.session_window("event_time", "10 seconds"), windows.m4(), True, True)
+    blocks = windows.session_traffic(df, "10 seconds")
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect())) and blocks.count() == 5
+    df = orders(spark, *(order(f"{i:03}", 1000 * (i * 7919 % 500), fee=i, user_region=None if i % 3 else "R") for i in range(200)))
+    a, b = (windows.count_windows(df, ["userRegion", "traffic"], 6, block) for block in (20_000, 86_400_000))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() == 33
+
+
+def test_each_message_is_parsed_once(spark):
+    df = p.parse_orders(raw(spark, WIRE))
+    for out in (p.accepted(df), p.rejected(df), p.accepted(df).select("fee"), logs.clicks(p.parse_logs(raw(spark, WIRE)))):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_plans_of_ranks_and_joins(spark):
+    df = orders(spark, *(order(i, 1000 * i) for i in range(5)))
+    plan = windows.count_windows(df, ["traffic"], 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(traffic" in plan and "_block" in plan.split("row_number() windowspecdefinition(", 1)[1].split(")")[0]
+    dim = spark.createDataFrame(PRODUCT, DIM_PRODUCT).cache()
+    dim.count()
+    assert "strategy=broadcast" in enrich.join_product_left(df, dim)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in enrich.sized(dim, 1)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_landing(spark, tmp_path):
