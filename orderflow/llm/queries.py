@@ -58,7 +58,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold == 2, F.lit(False))
     model = transcripts.fit(turns.where(~held_out))
     parsed = transcripts.parse(turns, model).withColumnsRenamed({"key": "conv_id", "part": "turn"})
-    return parsed.select("conv_id", "turn", held_out.alias("held_out"), "role_pred", "turn_text")
+    return parsed.select("conv_id", "turn", held_out.alias("held_out"), "role_pred", "turn_text", F.size("turns").cast("long").alias("n_turns"))
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

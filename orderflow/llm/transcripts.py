@@ -1,22 +1,29 @@
 """Chat formatting: roles of transcript lines by a hidden Markov model.
 
-A transcript comes in ordered parts (messages, paragraphs); each part is cut into
-lines, and each line is described by a few categorical features: a speaker marker at
-its start ("User:", "Assistant -"), the place in its part and in the transcript, its
+A transcript comes in ordered parts (messages, paragraphs, or one text with all turns);
+each part is cut into lines, and each line is described by a few categorical features: a
+speaker marker at its start ("User:", "Assistant -"), whether it is its part's first, its
 length, its last character, bullets and code. The hidden states are (role, begins or
 continues). Emissions and moves are smoothed counts over labelled parts, tables of a
-size that features x states bound. Viterbi gives the best states of each transcript;
-runs of one role become turns, which are rendered in one canonical form.
-
-A transcript is decoded in blocks of consecutive parts: each block gives a max-plus
+size that features x states bound. Markers and places are known and not learned: a share
+``MARKED`` of turns is taken to begin with a marker of its role, whether labelled parts
+have markers or not, and turns begin with a part or inside one, as in one text of many
+turns. A value never seen tells no state from another.
+Viterbi gives the best states of each transcript; runs of one role become turns, which
+are rendered in one canonical form.
+
+A transcript is decoded in blocks of consecutive lines: each block gives a max-plus
 matrix over its first and last states, the matrices of a transcript are combined, and
 each block is then traced between its known ends. So no task holds a whole long
-transcript, and the result is exactly Viterbi's.
+transcript, and the result is exactly Viterbi's. Blocks are ranges of parts; where such a
+range has too many lines, as with one very long text or many parts under one number, they
+are ranges of the parts' hashes and of lines.
 
 Defined cases: null parts are empty and have one empty line; ties go to the state first
-in order; rows with null key form one transcript; a part repeated under the same number
-follows its copy; without labelled rows every role is ``unknown``; an empty table
-gives an empty table. Only the named columns are read.
+in order; rows with null key form one transcript; parts under the same number, or none,
+follow one another by the hash of their text, equal ones are decoded once; without
+labelled rows every role is ``unknown``; an empty table gives an empty table. Only the
+named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -30,14 +37,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import few, saved
 
-#: Parts in a block; lines are short, so a block's lines fit a task.
-BLOCK = 1024
+#: Parts in a block, and lines beyond which its parts are blocks of their own, cut after so many lines.
+BLOCK, LINES = 1024, 1 << 14
+#: Share of turns that begin with a marker of their role, of these with another role's, and of other lines with any.
+MARKED, WRONG, STRAY = 0.3, 0.01, 0.005
+#: Share of continuing lines that stand first in a part.
+LATE = 0.0005
 #: Words that name a speaker at the start of a line.
 SPEAKERS = {"user": "user human customer question q you", "assistant": "assistant bot ai model answer a agent", "system": "system instruction instructions prompt context"}
 MARKER = r"^\s*[\[<(*#]*\s*([A-Za-z]+)\s*[\]>)*]*\s*[:>|-]\s*"
+#: Lines that the shares of all lines weigh as in each state's counts.
+PRIOR = 10
 FEATURES = ("marker", "place", "length", "end", "kind")
+FIRST, INNER = "first", "inner"
 
 
 def speaker(line: Column) -> Column:
@@ -50,18 +64,18 @@ def speaker(line: Column) -> Column:
 
 
 def lines(df: DataFrame, key: str, part: str, text: str, role: str | None = None, carried: str | None = None) -> DataFrame:
-    """key, part, copy, line, text, role, n (``carried``, else 1) and one column for each feature."""
+    """key, part, copy, line, text, of (lines of the part), role, n (``carried``, else 1) and one column for each feature."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     given = df.select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{part}`").alias("part"), (F.col(f"`{role}`") if role else F.lit(None).cast("string")).alias("role"),
-        (F.col(f"`{carried}`") if carried else F.lit(1)).alias("n"), F.posexplode(F.split(body, "\n")).alias("line", "text"), F.xxhash64(body).alias("copy"),
+        (F.col(f"`{carried}`") if carried else F.lit(1)).alias("n"), F.posexplode(F.split(body, "\n")).alias("line", "text"), F.xxhash64(body).alias("copy"), F.size(F.split(body, "\n")).alias("of"),
     )
     t = F.col("text")
     bare = F.rtrim(t)
     return given.select(
-        "key", "part", "copy", "role", "n", "line", "text",
+        "key", "part", "copy", "role", "n", "line", "text", "of",
         speaker(t).alias("marker"),
-        F.concat(F.when(F.col("line") == 0, F.lit("b")).otherwise(F.lit("i")), F.when(F.coalesce(F.col("part") == 0, F.lit(False)), F.lit("0")).otherwise(F.lit("1"))).alias("place"),
+        F.when(F.col("line") == 0, F.lit(FIRST)).otherwise(F.lit(INNER)).alias("place"),
         F.concat(F.lit("l"), F.floor(F.log2(F.length(t) + 1)).cast("string")).alias("length"),
         F.when(bare.endswith("?"), F.lit("?")).when(bare.endswith(":"), F.lit(":")).otherwise(F.lit("")).alias("end"),
         F.when(t.rlike(r"^\s*([-*•]|\d+[.)])\s"), F.lit("bullet")).when(t.rlike(r"^(\s{4}|```|.*[{};]\s*$)"), F.lit("code")).otherwise(F.lit("prose")).alias("kind"),
@@ -84,7 +98,8 @@ class Model:
 
 def fit(labelled: DataFrame, key: str = "conv_id", part: str = "turn", text: str = "text", role: str = "role") -> Model:
     """Learns from rows with a role; counts are summed by Spark, and only the tables of counts reach the driver."""
-    rows = lines(labelled.where(F.col(f"`{role}`").isNotNull()), key, part, text, role)
+    labelled = labelled.where(F.col(f"`{role}`").isNotNull())
+    rows = lines(labelled, key, part, text, role)
     state = F.concat("role", F.when(F.col("line") == 0, F.lit("\x1fB")).otherwise(F.lit("\x1fI")))
     described = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in FEATURES)))
     counts = rows.select(state.alias("state"), described.alias("x")).groupBy("state", "x.f", "x.v").agg(F.count("*").alias("n")).collect()
@@ -94,17 +109,21 @@ def fit(labelled: DataFrame, key: str = "conv_id", part: str = "turn", text: str
     emit = {}
     for f in FEATURES:
         mine = [r for r in counts if r["f"] == f]
-        values, table = {r["v"] for r in mine}, {}
-        total = np.ones(n) * (len(values) + 1)
+        table, total = {}, np.zeros(n)
         for r in mine:
             total[index[r["state"]]] += r["n"]
-            table.setdefault(r["v"], np.ones(n))[index[r["state"]]] += r["n"]
-        emit[f] = ({v: np.log(c / total) for v, c in table.items()}, -np.log(total))
-    parts = labelled.where(F.col(f"`{role}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{part}`").alias("part"), F.col(f"`{role}`").alias("role"), F.size(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")).alias("n"))
-    after = parts.select("key", (F.col("part") - 1).alias("part"), F.col("role").alias("next"))
-    pairs = parts.join(after, ["key", "part"]).groupBy("role", "next").agg(F.count("*").alias("n")).collect()
+            table.setdefault(r["v"], np.zeros(n))[index[r["state"]]] += r["n"]
+        rest = total.sum() + len(table) + 1
+        # Smoothed towards the value's share in all lines, so that a role of few lines gets no more of a rare value than others.
+        emit[f] = ({v: np.log((c + PRIOR * (c.sum() + 1) / rest) / (total + PRIOR)) for v, c in table.items()}, np.full(n, -math.log(rest)))
+    emit["marker"], emit["place"] = marked(roles), placed(roles)
+    parts = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{part}`").alias("part"), F.col(f"`{role}`").alias("role"), F.size(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")).alias("lines"))
+    # Summed before they meet, so parts repeated under one number don't multiply.
+    turns = parts.groupBy("key", "part", "role").agg(F.count("*").alias("n"))
+    after = turns.select("key", (F.col("part") - 1).alias("part"), F.col("role").alias("next"), F.col("n").alias("m"))
+    pairs = turns.join(after, ["key", "part"]).groupBy("role", "next").agg(F.sum(F.least("n", "m")).alias("n")).collect()
     starts = parts.where("part = 0").groupBy("role").agg(F.count("*").alias("n")).collect()
-    length = {r["role"]: r["m"] for r in parts.groupBy("role").agg(F.avg("n").alias("m")).collect()}
+    length = {r["role"]: r["m"] for r in parts.groupBy("role").agg(F.avg("lines").alias("m")).collect()}
     move, first = np.full((n, n), -math.inf), np.full(n, -math.inf)
     seen = np.ones((len(roles), len(roles)))
     for r in pairs:
@@ -122,6 +141,26 @@ def fit(labelled: DataFrame, key: str = "conv_id", part: str = "turn", text: str
     return Model(roles, first, move, emit)
 
 
+def marked(roles: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Emissions of markers by MARKED, WRONG and STRAY; a role without words of its own has no marker."""
+    known = [r for r in roles if r in SPEAKERS]
+    table = {}
+    for marker in ("", *SPEAKERS):
+        p = []
+        for r in roles:
+            own = MARKED if r in known else 0.0
+            begins = 1 - own if marker == "" else own * (1 - WRONG) if marker == r else max(own, MARKED) * WRONG / len(SPEAKERS)
+            p += [begins, 1 - STRAY if marker == "" else STRAY / len(SPEAKERS)]
+        table[marker] = np.log(np.array(p))
+    return table, np.zeros(2 * len(roles))
+
+
+def placed(roles: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Emissions of places: what begins stands first in its part or inside, what continues hardly ever first."""
+    table = {FIRST: np.log([0.5, LATE] * len(roles)), INNER: np.log([0.5, 1 - LATE] * len(roles))}
+    return table, np.zeros(2 * len(roles))
+
+
 def through(model: Model, emitted: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Best scores (rows: where it came from) of each last state, and for each line the best state before.
 
@@ -150,16 +189,28 @@ def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
         yield key, held
 
 
+def blocked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``block``, a string in the order of part, copy and line, for a bounded number of lines."""
+    span = F.coalesce(F.floor(F.col("part") / BLOCK).cast("long"), F.lit(-(1 << 53)))
+    rows = rows.withColumn("span", span)
+    many = rows.groupBy("key", "span").agg(F.count("*").alias("all")).where(F.col("all") > LINES)
+    many = few(many.select(F.col("key").alias("k"), F.col("span").alias("s")))
+    rows = rows.join(many, F.col("key").eqNullSafe(F.col("k")) & (F.col("span") == F.col("s")), "left")
+    # Of parts under one number the hash's first bits tell blocks apart; a text of very many lines is cut by lines, after the others of those bits.
+    at, bits = F.coalesce(F.pmod("part", F.lit(BLOCK)), F.lit(0)), F.shiftright("copy", 52) + 2048
+    of_lines = F.when(F.col("of") > LINES, F.format_string("-%016x-%012d", F.col("copy"), F.floor(F.col("line") / LINES))).otherwise(F.lit(""))
+    more = F.when(F.col("s").isNotNull(), F.concat(F.format_string("-%04d-%04d", at, bits), of_lines)).otherwise(F.lit(""))
+    return rows.select("key", F.concat(F.format_string("%020d", F.col("span") + (1 << 54)), more).alias("block"), "part", "copy", "line", *FEATURES, "n", "text")
+
+
 def decode(rows: DataFrame, model: Model) -> DataFrame:
     """key, part, copy, line, text n and the line's role_pred and begins, from ``lines``."""
     state = len(model.roles) * 2
-    block = F.coalesce(F.floor(F.col("part") / BLOCK), F.lit(-1)).cast("long")
-    rows = rows.select("key", block.alias("block"), "part", "copy", "line", *FEATURES, "n", "text")
     order = ["key", "block", "part", "copy", "line"]
-    dealt = saved(rows.repartition("key", "block").sortWithinPartitions(*order))
+    dealt = saved(blocked(rows).repartition("key", "block").sortWithinPartitions(*order))
     key_type = rows.schema["key"].dataType.simpleString()
     arrow_type = pa.string() if key_type == "string" else pa.int64()
-    out = pa.schema([("key", arrow_type), ("block", pa.int64()), ("m", pa.list_(pa.float64()))])
+    out = pa.schema([("key", arrow_type), ("block", pa.string()), ("m", pa.list_(pa.float64()))])
 
     def matrices(batches):
         for (key, blk), held in runs(batches, 2):
@@ -185,8 +236,8 @@ def decode(rows: DataFrame, model: Model) -> DataFrame:
     # Only transcripts of more than one block are combined; the others are traced from their start to their best end.
     spans = dealt.groupBy("key").agg(F.min("block").alias("a"), F.max("block").alias("z")).where("a < z").select(F.col("key").alias("k"))
     long = dealt.join(spans, F.col("key").eqNullSafe(F.col("k")), "left_semi")
-    sums = long.select("key", "block", "part", "copy", "line", *FEATURES).repartition("key", "block").sortWithinPartitions(*order).mapInArrow(matrices, f"key {key_type}, block long, m array<double>")
-    known = sums.groupBy("key").applyInArrow(ends, f"key {key_type}, block long, before int, last int")
+    sums = long.select("key", "block", "part", "copy", "line", *FEATURES).repartition("key", "block").sortWithinPartitions(*order).mapInArrow(matrices, f"key {key_type}, block string, m array<double>")
+    known = sums.groupBy("key").applyInArrow(ends, f"key {key_type}, block string, before int, last int")
     known = known.withColumnsRenamed({"key": "k", "block": "b"})
     ready = dealt.join(known, F.col("key").eqNullSafe(F.col("k")) & (F.col("block") == F.col("b")), "left")
     ready = ready.select("key", "block", "part", "copy", "line", *FEATURES, "before", "last", "n", "text").repartition("key", "block").sortWithinPartitions(*order)
@@ -213,28 +264,41 @@ def decode(rows: DataFrame, model: Model) -> DataFrame:
     return ready.mapInArrow(trace, f"key {key_type}, part long, copy long, line int, n int, text string, role_pred string, begins boolean")
 
 
+def shown(decoded: DataFrame) -> DataFrame:
+    """``decoded`` with each line's text without the marker that begins its turn."""
+    bare = F.when(F.col("begins") & (speaker(F.col("text")) == F.col("role_pred")), F.regexp_replace("text", MARKER, "")).otherwise(F.col("text"))
+    return decoded.withColumn("bare", bare)
+
+
 def render(decoded: DataFrame) -> DataFrame:
-    """key, part, copy, role_pred, n and ``turn_text`` of each part, in the form ``<|role|>`` line end text.
+    """key, part, copy, role_pred, n, ``turn_text`` and ``turns`` of each part.
 
-    A part whose first line continues the role before it gets no new header. Markers
-    are removed from first lines.
+    ``turns`` has role and text of each run of lines between beginnings, ``turn_text`` the
+    same in the form ``<|role|>`` line end text. A part whose first line continues the
+    role before it gets no header there; ``role_pred`` is its first line's role.
     """
-    first = F.col("line") == 0
-    bare = F.when(first & (speaker(F.col("text")) != ""), F.regexp_replace("text", MARKER, "")).otherwise(F.col("text"))
-    header = F.when(F.col("begins"), F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"))).otherwise(F.lit(""))
-    shown = F.struct("line", F.concat(header, bare).alias("t"))
-    parts = decoded.groupBy("key", "part", "copy").agg(F.sort_array(F.collect_list(shown)).alias("all"), F.min(F.struct("line", "role_pred")).alias("first"), F.first("n").alias("n"))
-    text = F.array_join(F.transform("all", lambda x: x["t"]), "\n")
-    return parts.select("key", "part", "copy", F.col("first.role_pred").alias("role_pred"), text.alias("turn_text"), "n")
+    rows = F.struct("line", "role_pred", "begins", "bare")
+    parts = shown(decoded).groupBy("key", "part", "copy").agg(F.sort_array(F.collect_list(rows)).alias("all"), F.first("n").alias("n"))
+    line = lambda x: F.concat(F.when(x["begins"], F.concat(F.lit("<|"), x["role_pred"], F.lit("|>\n"))).otherwise(F.lit("")), x["bare"])
+    starts = F.filter(F.transform("all", lambda x, i: F.when(x["begins"] | (i == 0), i)), lambda i: i.isNotNull())
+    until = lambda i, at: F.coalesce(F.get("starts", at + 1), F.size("all")) - i
+    turn = lambda i, at: F.struct(
+        F.get("all", i)["role_pred"].alias("role"), F.array_join(F.transform(F.slice("all", i + 1, until(i, at)), lambda x: x["bare"]), "\n").alias("text")
+    )
+    parts = parts.withColumn("starts", starts)
+    return parts.select(
+        "key", "part", "copy", F.get("all", F.lit(0))["role_pred"].alias("role_pred"), F.array_join(F.transform("all", line), "\n").alias("turn_text"), F.transform("starts", turn).alias("turns"), "n",
+    )
 
 
 def parse(df: DataFrame, model: Model, key: str = "conv_id", part: str = "turn", text: str = "text") -> DataFrame:
-    """key, part, role_pred and turn_text for each row of ``df``; equal rows are decoded once and returned as often as they occur."""
+    """key, part, role_pred, turn_text and turns for each row of ``df``; equal rows are decoded once and returned as often as they occur."""
     kind = df.schema[key].dataType
     as_type = "long" if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else "string"
-    rows = df.select(F.col(f"`{key}`").cast(as_type).alias("key"), F.col(f"`{part}`").cast("long").alias("part"), F.col(f"`{text}`").alias("text"))
+    rows = df.select(F.col(f"`{key}`").cast(as_type).alias("key"), F.col(f"`{part}`").cast("long").alias("part"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     if not model.roles:
-        return rows.select(F.col("key").cast(kind), "part", F.lit("unknown").alias("role_pred"), F.coalesce("text", F.lit("")).alias("turn_text"))
-    once = rows.groupBy("key", "part", F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").cast("int").alias("n"))
+        turn = F.array(F.struct(F.lit("unknown").alias("role"), F.col("text").alias("text")))
+        return rows.select(F.col("key").cast(kind), "part", F.lit("unknown").alias("role_pred"), F.col("text").alias("turn_text"), turn.alias("turns"))
+    once = rows.groupBy("key", "part", "text").agg(F.count("*").cast("int").alias("n"))
     decoded = render(decode(lines(once, "key", "part", "text", carried="n"), model))
-    return decoded.select(F.col("key").cast(kind), "part", "role_pred", "turn_text", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("z")).drop("z")
+    return decoded.select(F.col("key").cast(kind), "part", "role_pred", "turn_text", "turns", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("z")).drop("z")
