@@ -327,10 +327,84 @@ def test_roles_of_held_out_conversations(spark, monkeypatch):
     held = [r for r in out if r["held_out"]]
     assert len(out) == len(roles) and sum(r["role_pred"] == roles[r["conv_id"], r["turn"]] for r in held) > 0.9 * len(held)
     monkeypatch.setattr(transcripts, "BLOCK", 2)  # blocks give the same path
+    monkeypatch.setattr(transcripts, "LINES", 3)
     assert sorted(map(tuple, queries.op5_chat_formatting(spark, d).collect())) == sorted(map(tuple, out))
 
 
-def test_markers_and_chat_edges(spark):
+def chats(spark):
+    """Held-in model of the conversations, and the turns of the others."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    turns = defaultdict(list)
+    for r in rows.where("conv_id % 4 = 1").orderBy("conv_id", "turn").collect():
+        turns[r["conv_id"]].append((r["role"], r["text"]))
+    return transcripts.fit(rows.where("conv_id % 4 <> 1")), turns
+
+
+def test_one_text_with_markers_comes_apart_into_its_turns(spark):
+    model, turns = chats(spark)
+    for marker in ("{}: ", "[{}] - "):
+        df = spark.createDataFrame([(c, 0, "\n".join(marker.format(r.capitalize()) + t for r, t in ts)) for c, ts in turns.items()], "conv_id long, turn int, text string")
+        right = total = 0
+        for r in transcripts.parse(df, model).collect():
+            want = turns[r["conv_id"] if "conv_id" in r else r["key"]]
+            got = [(t["role"], t["text"]) for t in r["turns"]]
+            total += len(want)
+            right += sum(w in got for w in want) if len(got) == len(want) else len(set(want) & set(got))
+        assert right > 0.95 * total, marker
+
+
+def test_markers_help_and_unseen_values_favour_no_role(spark):
+    model, _ = chats(spark)
+    texts = {1: "hi there|hello", 2: "User: hi there|Assistant: hello", 3: "x" * 5000 + "|" + "y" * 9000}
+    df = spark.createDataFrame([(c, k, t) for c, ts in texts.items() for k, t in enumerate(ts.split("|"))], "conv_id int, turn int, text string")
+    got = defaultdict(dict)
+    for r in transcripts.parse(df, model).collect():
+        got[r["key"]][r["part"]] = (r["role_pred"], r["turn_text"])
+    assert {c: [got[c][k][0] for k in (0, 1)] for c in texts} == dict.fromkeys(texts, ["user", "assistant"])
+    assert got[2][1][1] == "<|assistant|>\nhello"
+    for table, other in model.emit.values():
+        assert len(set(other.tolist())) == 1
+    one = spark.createDataFrame([(1, 0, "User: a?\nAssistant: b.\nmore of b\nUser: c?\nAssistant: d.")], "conv_id int, turn int, text string")
+    r = transcripts.parse(one, model).first()
+    assert [tuple(t) for t in r["turns"]] == [("user", "a?"), ("assistant", "b.\nmore of b"), ("user", "c?"), ("assistant", "d.")]
+    assert r["turn_text"] == "<|user|>\na?\n<|assistant|>\nb.\nmore of b\n<|user|>\nc?\n<|assistant|>\nd."
+
+
+def brute_viterbi(model, features):
+    """The best states, by plain loops over all moves; ties go to the state first in order."""
+    n, score, back = len(model.roles) * 2, None, []
+    for k, row in enumerate(features):
+        e = [sum(model.emit[f][0].get(v, model.emit[f][1])[s] for f, v in zip(transcripts.FEATURES, row, strict=True)) for s in range(n)]
+        if k == 0:
+            score = [model.first[s] + e[s] for s in range(n)]
+            continue
+        came = [max(range(n), key=lambda a: (score[a] + model.move[a, s], -a)) for s in range(n)]
+        score, back = [score[a] + model.move[a, s] + e[s] for s, a in enumerate(came)], [*back, came]
+    path = [max(range(n), key=lambda s: (score[s], -s))]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    return path[::-1]
+
+
+@pytest.mark.parametrize("lines", [1 << 14, 2])
+def test_paths_against_a_plain_viterbi(spark, monkeypatch, lines):
+    model, turns = chats(spark)
+    monkeypatch.setattr(transcripts, "LINES", lines)
+    monkeypatch.setattr(transcripts, "BLOCK", 2)
+    rng, rows = random.Random(7), []
+    for c, ts in list(turns.items())[:12]:
+        rows += [(c, k, rng.choice(["", "", f"{r}: "]) + t) for k, (r, t) in enumerate(ts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    described = transcripts.lines(df, "conv_id", "turn", "text")
+    got, features = defaultdict(list), defaultdict(list)
+    for r in described.orderBy("key", "part", "line").collect():
+        features[r["key"]].append(tuple(r[f] for f in transcripts.FEATURES))
+    for r in transcripts.decode(described, model).orderBy("key", "part", "line").collect():
+        got[r["key"]].append(2 * model.roles.index(r["role_pred"]) + (not r["begins"]))
+    assert got == {c: brute_viterbi(model, f) for c, f in features.items()}
+
+
+def test_markers_and_chat_edges(spark, monkeypatch):
     rows = [(c, t, r, x) for c in range(20) for t, r, x in ((0, "user", "User: what is it?"), (1, "assistant", "Assistant: this.\nAnd that."), (2, "user", "Human: why?"))]
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
     model = transcripts.fit(df)
@@ -341,6 +415,14 @@ def test_markers_and_chat_edges(spark):
     assert first["role_pred"] == "assistant" and first["turn_text"] == "<|assistant|>\nhello\nmore"
     assert transcripts.parse(new.where("false"), model).collect() == []
     assert {r["role_pred"] for r in transcripts.parse(new, transcripts.fit(df.where("false"))).collect()} == {"unknown"}
+    monkeypatch.setattr(transcripts, "LINES", 1000)
+    clash = {c: F.lit("clash") for c in ("key", "part", "block", "line", "copy", "n", "state", "span", "turns")}
+    odd = [(3, 5, "a\n" * 5000), *((4, 1, f"text {i}\nmore") for i in range(900)), *((None, None, f"text {i}") for i in range(1200)), *((5, 2, "same"),) * 50]
+    found = transcripts.parse(spark.createDataFrame(odd, "conv_id int, turn int, text string").withColumns(clash), model).collect()
+    assert Counter((r["key"], r["part"]) for r in found) == Counter((c, t) for c, t, _ in odd)
+    assert next(r for r in found if r["key"] == 3)["turn_text"].count("a") >= 5000
+    repeated = spark.createDataFrame([(1, k, r, f"{r} text") for _ in range(3000) for k, r in enumerate(("user", "assistant"))], "conv_id int, turn int, role string, text string")
+    assert transcripts.fit(repeated).roles == ["assistant", "user"]
 
 
 # Neighbours
