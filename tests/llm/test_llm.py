@@ -748,12 +748,30 @@ def test_bpe_against_the_library_and_back(spark, given):
     for r in bpe.decode(encoded, path, pattern).collect():
         t = texts[r["doc_id"]] or ""
         assert r["ids"] == e.encode_ordinary(t) and bytes(r["decoded"]) == t.encode()
+    assert bpe.encode(docs(spark, ["a"]).where("false"), path, pattern).collect() == []
     got = {r["doc_id"]: r for r in queries.op10_byte_bpe(spark, DIR).collect()}
     for i, t in given.items():
         ids = e.encode_ordinary(t)
         assert tuple(got[i])[1:] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_long_matches_against_the_library():
+    import tiktoken
+
+    v = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    rng = random.Random(5)
+    words = ["a" * n for n in range(257, 300)] + ["the" * 200, "x" * 100_000, "".join(rng.choice("etaoinshr") for _ in range(50_000))]
+    words += ["".join(rng.choice(("ab", "aa", "the", "ing", "z")) for _ in range(rng.randrange(200, 900))) for _ in range(100)]
+    for w in words:
+        want = e.encode_ordinary(w)
+        assert np.frombuffer(v.long(w.encode()), dtype="<i4").tolist() == want
+    for t in rng.sample(v.tokens, 3000):
+        w = (t * 40).decode(errors="ignore").strip()
+        if len(v.matches(w)) == 1:
+            assert np.frombuffer(v.long(w.encode()), dtype="<i4").tolist() == e.encode_ordinary(w)
+
+
 # Pipeline
 
 
