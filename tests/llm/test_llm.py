@@ -694,6 +694,30 @@ def test_pieces_and_sequences(spark, given):
     assert packing.pack(df.where("false"), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
 
+def test_packing_of_repeated_rows_null_keys_and_clashing_columns(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(7, "one and the same text")] * 40 + [(None, "no key")] * 40 + [(None, None), (8, "word " * 4000)], "doc_id long, text string")
+    df = df.withColumns({c: F.lit("clash") for c in ("key", "task", "number", "rank", "first", "pieces", "start", "n")})
+    out = packing.pack(df, path, pattern=public_tokenizers.PATTERN, with_ids=True).toPandas()
+    assert len(out[out.doc_id == 7]) == 40 and out.doc_id.isna().sum() == 41
+    for _, s in out.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() <= 1024
+    assert all(zlib.crc32(x) == c and len(x) == 4 * n for x, c, n in zip(out.ids, out.ids_crc32, out.length, strict=True))
+
+
+def test_both_ways_to_encode_agree(given):
+    """The merges in tiktoken against the tokenizers library, on odd texts, special tokens and every code point."""
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
+    fast, slow = packing.encoder(path, public_tokenizers.PATTERN), packing.encoder(path, None)
+    parts = [*" \n\t ab'sé漢1\x1c😀-.　the\r\x0b\x85\u2028", "<|endoftext|>", "<|endoftext", "'re", "  ", "don't"]
+    texts = [*given.values(), *ODD, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(3000))]
+    texts += ["".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} " for c in range(k, min(k + 997, 0x110000)) if not 0xD800 <= c <= 0xDFFF) for k in range(0, 0x110000, 997)]
+    texts += [" " * 3_000_000 + "x"]  # more white space than the faster engine takes
+    assert packing.ranks_of(path) is not None
+    for t in texts:
+        assert fast(t or "").tolist() == slow(t or "").tolist()
+
+
 def test_cutting_stock_meets_every_demand():
     rng = np.random.default_rng(0)
     for n in (1, 7, 5000):
