@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 import uuid
 
 import pytest
@@ -207,3 +208,17 @@ def test_totals_are_shown_again_in_update_mode(spark, tmp_path):
     assert sorted(r[3:] for r in got) == [(4, 3, 6), (10, 3, 45)]
     last = triggers.stat_time(orders_of(raw(spark, *rows)), 60_000).first()
     assert (last["orders"], last["users"], last["totalFee"], last["startWindowTime"]) == (*sorted(got)[-1][3:], got[0][2])
+
+
+def test_a_job_runs_at_processing_time_intervals(spark, tmp_path, replay):
+    live, _, with_far = replay["orders"]
+    shown = []
+    writer = jobs.hourly_by_time(live()).writeStream.foreachBatch(lambda df, batch: shown.append(df.agg(F.max("orders")).first()[0])).outputMode("update").option("checkpointLocation", str(tmp_path / "ck"))
+    q = jobs.start(writer, "1 second")
+    try:
+        until = time.monotonic() + 60
+        while len([x for x in shown if x]) < 2 and time.monotonic() < until:
+            time.sleep(0.2)
+        assert q.isActive and [x for x in shown if x][:2] == [13, 40]
+    finally:
+        q.stop()
