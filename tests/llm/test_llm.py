@@ -465,6 +465,33 @@ def test_equal_vectors_and_unusable_ones(spark):
     assert neighbours.search(df.where("false"), F.col("key") % 20 == 0).collect() == []
 
 
+def clustered(n, size=16, clusters=10, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, size))
+    return centres[rng.integers(0, clusters, n)] + 0.05 * rng.normal(size=(n, size))
+
+
+def test_clustered_vectors_need_few_cells_and_bounds_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 100)
+    x = clustered(4000)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cells = neighbours.Cells(x, 40, 16)
+    of, far = cells.place(x)
+    cells.radius[:] = [far[of == c].max(initial=-np.inf) for c in range(len(cells.radius))]
+    scores = x[:200] @ x.T
+    home = cells.home(x[:200])
+    least = np.array([np.sort(scores[i][of == home[i]])[-20:][0] for i in range(200)])
+    row, cell = cells.others(x[:200], least)
+    assert len(row) < 0.35 * 200 * len(cells.radius)
+    seen = {*zip(row.tolist(), cell.tolist()), *enumerate(home.tolist())}
+    assert all((i, of[j]) in seen for i in range(200) for j in np.argsort(-scores[i])[:20])
+    rows = [(i, v.tolist()) for i, v in enumerate(x[:1500])]
+    want, found = brute_nearest(rows), defaultdict(set)
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("key") % 20 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    assert sum(len({j for _, j in w} & found[q]) for q, w in want.items()) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_every_dimension_is_searched_and_other_columns_do_not_clash(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(200)] + [(200 + i, rng.normal(size=9).tolist()) for i in range(3)] + [(500, [1.0])]
