@@ -63,3 +63,24 @@ def few(df: DataFrame) -> DataFrame:
     """``df``, written out and marked for broadcast if it has no more than FEW rows; else the join shuffles."""
     df = saved(df)
     return F.broadcast(df) if df.count() <= FEW else df
+
+
+#: Bits of a filter of keys, in rows of 4 KB: 2 MB at most.
+FILTER_BITS = 1 << 24
+
+
+def may_be_in(df: DataFrame, value: Column, keys: DataFrame, key: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: false only where ``value`` is surely none of the ``key`` values of ``keys``.
+
+    A bit map of hashes, at most FILTER_BITS / 8 bytes however many keys there are, is
+    broadcast; so rows with wide columns that a join would drop need no shuffle. The
+    more keys there are, the more other rows pass; the join that follows is exact.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    map_, row, place = fresh(df, "map"), fresh(df, "row"), fresh(df, "place")
+    maps = keys.select(bit(key).alias("b")).groupBy(F.floor(F.col("b") / 32768).alias(row)).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias(map_))
+    at = F.col(place) % 32768
+    byte = F.conv(F.hex(F.substring(F.col(map_), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    out = df.withColumn(place, bit(value)).withColumn(row, F.floor(F.col(place) / 32768)).join(F.broadcast(saved(maps)), row, "left")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return out.withColumn(name, found).select(*(f"`{c}`" for c in df.columns), name)

@@ -44,13 +44,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few, saved
+from .common import few, may_be_in, saved
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 2, 42
 #: Similar copies share SIMILAR (as a fraction) of their sets of shingles of SET_SHINGLE words.
@@ -410,11 +409,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def similar(t: pa.Table) -> pa.Table:
     """Linked pairs between block i and block j of a cluster; if there are more than sets, a spanning forest of them."""
-    t = t.filter(pc.greater(t["size"], 0))
-    node, size, mine = t["node"].to_numpy().view(np.uint64), t["size"].to_numpy(), t["mine"].to_numpy()
+    node, mine, sets = t["node"].to_numpy().view(np.uint64), t["mine"].to_numpy(), [shingles(x) for x in t["text"].to_pylist()]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    full = np.flatnonzero(size)
+    node, mine, size = node[full], mine[full], size[full]
     a, b, every = [node[:0]], [node[:0]], np.unique(node)
     if len(node) > 1:
-        _, ids = np.unique(t["set"].combine_chunks().flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         starts, inside = np.cumsum(size) - size, np.zeros(ids.max() + 1, dtype=bool)
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         for x in np.flatnonzero(mine == i):
@@ -442,21 +443,22 @@ def confirmed(clusters: DataFrame, nodes: DataFrame, df: DataFrame, key: str, te
     wanted = saved(clusters.unionByName(least).join(nodes, "node"))
     large = wanted.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("size") / HASHES)).cast("int").alias("b")).where("b > 1")
     given = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    keys = wanted.select(F.col("least").alias("least_key")).distinct()
+    keys = saved(wanted.select(F.col("least").alias("least_key")).distinct())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([named(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "set"])
+            nodes_ = [named(shingles(t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), b.column(0)], names=["node", "text"])
 
-    # Rows of one key may have different texts: only the wanted nodes stay, once.
-    texts = given.join(keys, F.col("key").eqNullSafe(F.col("least_key")), "left_semi").select("text")
-    sets = texts.mapInArrow(read, "node long, set array<long>").dropDuplicates(["node"])
+    # Rows of one key may have different texts: only the wanted nodes stay, once. Texts are shuffled and not sets, which are larger.
+    likely = may_be_in(given, F.col("key"), keys, F.col("least_key"), "likely").where("likely")
+    texts = likely.join(keys, F.col("key").eqNullSafe(F.col("least_key")), "left_semi").select("text")
+    texts = texts.mapInArrow(read, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
     placed = wanted.join(few(large), "component", "left").withColumn("b", F.coalesce("b", F.lit(1)))
-    placed = placed.select("component", "node", "size", "b", F.pmod(F.xxhash64("node"), F.col("b")).cast("int").alias("mine"))
-    dealt = sets.join(placed, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    dealt = dealt.select("component", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "size", "set")
-    return dealt.groupBy("component", "i", "j").applyInArrow(similar, "a long, b long")
+    placed = placed.select("component", "node", "b", F.pmod(F.xxhash64("node"), F.col("b")).cast("int").alias("mine"))
+    pairs = texts.join(placed, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    pairs = pairs.select("component", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "text")
+    return pairs.groupBy("component", "i", "j").applyInArrow(similar, "a long, b long")
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -468,7 +470,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
 
 def similar_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and ``component_id`` (the least key reachable over texts of a Jaccard of SIMILAR or more) of each row."""
+    """key, ``component_id`` (the least key reachable over texts of a Jaccard of SIMILAR or more) and ``alone`` (no other row is in the component) of each row."""
     blocks, bits = layout(df.count())
     words = max(WORDS, -(-blocks * bits // 64))
     found = saved(shingle_sets(df, words, key, text))
@@ -476,7 +478,11 @@ def similar_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     clusters = components(candidate_links(nodes, blocks, bits, words))
     edges = confirmed(clusters, nodes.select("node", "least", "size"), df, key, text)
     of = classes(nodes.select("node", "least"), "node", components(edges))
-    return found.select("key", "node").join(of, "node").select(F.col("key").alias(key), "component_id")
+    rows = found.groupBy("node").agg(F.count("*").alias("rows"))
+    of = of.join(rows, "node")
+    alone = of.groupBy("component").agg((F.sum("rows") == 1).alias("alone"))
+    of = of.join(alone, "component").select("node", "component_id", "alone")
+    return saved(found.select("key", "node").join(of, "node").select(F.col("key").alias(key), "component_id", "alone"))
 
 
 def classes(nodes: DataFrame, node: str, found: DataFrame) -> DataFrame:
@@ -488,4 +494,4 @@ def classes(nodes: DataFrame, node: str, found: DataFrame) -> DataFrame:
     found = found.withColumnRenamed("node", "of")
     classed = saved(nodes.join(found, nodes[node] == found["of"], "left").select(node, "least", F.coalesce("component", node).alias("class")))
     named_ = saved(classed.groupBy("class").agg(F.min("least").alias("component_id")))
-    return saved(classed.join(named_, "class").select(node, "component_id"))
+    return saved(classed.join(named_, "class").select(node, F.col("class").alias("component"), "component_id"))

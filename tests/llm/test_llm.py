@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderflow.llm import bpe, language, neighbours, ngrams, packing, quality, queries, sharding, simhash, transcripts, urls
+from orderflow.llm import bpe, common, language, neighbours, ngrams, packing, quality, queries, sharding, simhash, transcripts, urls
 
 DIR = "/root/testdata/sf0.001"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -700,6 +700,17 @@ def test_near_copies_of_nothing(spark):
     assert simhash.near_copies(docs(spark, ["a"]).where("false")).collect() == []
 
 
+def test_the_filter_of_keys_passes_all_of_them(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("if(id % 7 = 0, null, id) as k", "'x' as map", "'y' as row")
+    keys = spark.range(0, 3000, 3).selectExpr("id as q").unionByName(spark.sql("select cast(null as long) as q"))
+    for bits in (1 << 24, 1 << 15):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        out = common.may_be_in(df, F.col("k"), keys, F.col("q"), "likely").collect()
+        inside = {i for i in range(0, 3000, 3)} | {None}
+        assert len(out) == 5000 and all(r["likely"] for r in out if r["k"] in inside)
+        assert sum(r["likely"] for r in out if r["k"] not in inside) < (10 if bits > 1 << 15 else 500)
+
+
 # Packing
 
 
