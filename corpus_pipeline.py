@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflow.llm import language, packing, quality, simhash
+from orderflow.llm.common import may_be_in
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,8 +36,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
     keyed = docs.select(*COLUMNS, order.alias("key"))
     found = simhash.similar_copies(keyed, "key")
+    # Most documents are alone: only the others, with their texts, go through a join.
+    marked = may_be_in(keyed, F.col("key"), found.where("not alone"), F.col("key"), "likely")
     least = found.where("key = component_id").select("key").distinct()
-    return keyed.join(least, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    others = marked.where("likely").join(least, "key", "left_semi").dropDuplicates(["key"])
+    return marked.where("not likely").unionByName(others).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
