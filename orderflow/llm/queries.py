@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neighbours, ngrams, packing, quality, sharding, simhash, transcripts, urls
+from . import bpe, language, neighbours, ngrams, packing, quality, sharding, simhash, transcripts, tries, urls
 from .common import table
 
 
@@ -101,6 +101,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return tries.trie(*tries.spliced(table(spark, sf_dir, "conversations"), F.col("conv_id") - F.col("conv_id") % 100, heads, 5))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
@@ -112,6 +117,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 
@@ -155,4 +161,23 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f"""
 
 
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_sql()}
+#: CRC-32 of a decimal number, byte by byte from the table that its polynomial gives.
+CRC_SQL = """tab AS (SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY i) AS tab
+  FROM (SELECT unnest(range(256)) AS i))"""
+TRIE_SQL = f"""WITH {CRC_SQL},
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS source, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: ascii(d))),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o), tab),
+m AS (SELECT c.*, (SELECT count(*) FROM o WHERE o.conv_id = c.source AND o.place <= c.h) AS m FROM c),
+r AS (SELECT m.conv_id, o.place, turn, chars FROM m JOIN o ON o.conv_id = m.source AND o.place <= m.h
+  UNION ALL SELECT m.conv_id, o.place - m.h + m.m, turn, chars FROM m JOIN o ON o.conv_id = m.conv_id AND o.place > m.h),
+p AS (SELECT conv_id, place, chars, list(turn) OVER (PARTITION BY conv_id ORDER BY place) AS path, place = count(*) OVER (PARTITION BY conv_id) AS ended FROM r
+  UNION ALL SELECT conv_id, 0, 0, [], NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = m.conv_id) FROM m),
+n AS (SELECT path, place AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (SELECT path[1:i] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS i FROM u) GROUP BY 1)
+SELECT u.conv_id, u.depth, q.conv_id AS parent_conv_id, u.n_convs, u.n_children, n_leaves, saved_tokens, u.ends_sha256 FROM u JOIN s ON u.path = s.path LEFT JOIN n q ON u.depth > 0 AND q.path = u.path[1:u.depth - 1]"""
+
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_sql(), "op12_prefix_trie": TRIE_SQL}
