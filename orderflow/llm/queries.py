@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neighbours, ngrams, packing, quality, sharding, simhash, transcripts, tries, urls
+from . import bpe, language, neighbours, ngrams, packing, phrases, quality, sharding, simhash, transcripts, tries, urls
 from .common import table
 
 
@@ -101,6 +101,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
     return tries.trie(*tries.spliced(table(spark, sf_dir, "conversations"), F.col("conv_id") - F.col("conv_id") % 100, heads, 5))
@@ -117,6 +121,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
 }
 
@@ -161,6 +166,20 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f"""
 
 
+PHRASE_SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+f AS (SELECT * FROM g WHERE f >= 10),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT a.lang, a.k, a.phrase, a.f AS a, l.f AS l, r.f AS r, CAST(CAST(1000000 AS HUGEINT) * a.f * a.f // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score, cut
+  FROM (SELECT *, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM f WHERE k > 1) a
+  JOIN g l ON l.lang = a.lang AND l.phrase = array_to_string(a.ws[1:cut], ' ') JOIN g r ON r.lang = a.lang AND r.phrase = array_to_string(a.ws[cut + 1:], ' ')),
+s AS (SELECT lang, phrase, a, l, r, score, k FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM c) WHERE o = 1),
+x AS (SELECT lang, phrase, max(f) AS longest FROM (SELECT lang, f, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k = 3)) GROUP BY 1, 2),
+d AS (SELECT s.* FROM s LEFT JOIN x ON s.k = 2 AND x.lang = s.lang AND x.phrase = s.phrase WHERE longest IS NULL OR 100 * longest < 50 * a),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d JOIN n USING (lang))
+SELECT * FROM o WHERE rank <= 2000"""
+
 #: CRC-32 of a decimal number, byte by byte from the table that its polynomial gives.
 CRC_SQL = """tab AS (SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY i) AS tab
   FROM (SELECT unnest(range(256)) AS i))"""
@@ -180,4 +199,4 @@ u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING
 s AS (SELECT path[1:i] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS i FROM u) GROUP BY 1)
 SELECT u.conv_id, u.depth, q.conv_id AS parent_conv_id, u.n_convs, u.n_children, n_leaves, saved_tokens, u.ends_sha256 FROM u JOIN s ON u.path = s.path LEFT JOIN n q ON u.depth > 0 AND q.path = u.path[1:u.depth - 1]"""
 
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_sql(), "op12_prefix_trie": TRIE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_sql(), "op11_collocations": PHRASE_SQL, "op12_prefix_trie": TRIE_SQL}
