@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neighbours, ngrams, packing, phrases, quality, sharding, simhash, transcripts, tries, urls
+from . import bpe, language, neighbours, ngrams, packing, phrases, quality, sharding, simhash, suffixes, transcripts, tries, urls
 from .common import table
 
 
@@ -110,6 +110,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie(*tries.spliced(table(spark, sf_dir, "conversations"), F.col("conv_id") - F.col("conv_id") % 100, heads, 5))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("left")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("left", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_url_filters": op2_url_filters,
@@ -123,6 +132,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_repeats": op13_repeats,
 }
 
 
@@ -180,6 +190,17 @@ d AS (SELECT s.* FROM s LEFT JOIN x ON s.k = 2 AND x.lang = s.lang AND x.phrase
 o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d JOIN n USING (lang))
 SELECT * FROM o WHERE rank <= 2000"""
 
+#: Bytes as two hexadecimal digits each, since SQL cuts text by characters.
+REPEAT_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(CAST(length(x) // 2 - 99 AS BIGINT))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+e AS (SELECT doc_id, i, CASE WHEN i <= max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM e) GROUP BY doc_id, g),
+h AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops FROM g GROUP BY 1),
+k AS (SELECT d.doc_id, x, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed, list_concat([0], coalesce(stops, [])) AS froms, list_concat(coalesce(starts, []), [length(x) // 2]) AS tos FROM d LEFT JOIN h USING (doc_id))
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, n_removed, n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(froms) + 1), lambda j: substr(x, CAST(2 * froms[j] + 1 AS BIGINT), CAST(2 * (tos[j] - froms[j]) AS BIGINT))), ''))) AS kept_sha256 FROM k"""
+
 #: CRC-32 of a decimal number, byte by byte from the table that its polynomial gives.
 CRC_SQL = """tab AS (SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY i) AS tab
   FROM (SELECT unnest(range(256)) AS i))"""
@@ -199,4 +220,4 @@ u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING
 s AS (SELECT path[1:i] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS i FROM u) GROUP BY 1)
 SELECT u.conv_id, u.depth, q.conv_id AS parent_conv_id, u.n_convs, u.n_children, n_leaves, saved_tokens, u.ends_sha256 FROM u JOIN s ON u.path = s.path LEFT JOIN n q ON u.depth > 0 AND q.path = u.path[1:u.depth - 1]"""
 
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_sql(), "op11_collocations": PHRASE_SQL, "op12_prefix_trie": TRIE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_sql(), "op11_collocations": PHRASE_SQL, "op12_prefix_trie": TRIE_SQL, "op13_repeats": REPEAT_SQL}
