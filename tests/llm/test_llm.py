@@ -506,7 +506,17 @@ def test_repeated_ids_of_vectors(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [5.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = neighbours.search(df, F.col("key") == 0).orderBy("rank").collect()
-    assert [(r["vec_id"], r["score"]) for r in found] == [(2, 5.0), (1, 1.0), (1, 1.0), (1, 1.0), (1, 1.0), (2, 0.0)]
+    # Each vector of id 0 has its own ranks: 5, 1, 1 and 1, 1, 0.
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [(1, 1, 1.0), (1, 2, 5.0), (2, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0), (3, 2, 0.0)]
+
+
+@pytest.mark.parametrize(("same", "others"), [(25, 9), (60, 30), (3, 0)])
+def test_more_copies_of_the_query_than_places(spark, same, others):
+    """Copies of the query's own row, and of others' rows, take no place from other ids with the same vector."""
+    rows = [(0, [1.0, 0.0])] * same + [(i, [1.0, 0.0]) for i in range(1, others + 1)] + [(1, [1.0, 0.0])] * 40 * bool(others) + [(100 + i, [0.5, 0.1 * i]) for i in range(10)]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("key") == 0).orderBy("rank").collect()
+    want = sorted((-(v[0]), i) for i, v in rows if i != 0)[:20]
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in found] == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
 
 
 # Near copies
