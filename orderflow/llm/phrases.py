@@ -12,7 +12,8 @@ Mining goes by levels: words, then pairs of frequent words, then threes of two f
 pairs. What a level found goes to the next as a bit map of hashes, 32 MB however many
 phrases there are: a clear bit proves a phrase rare, and a set one proves nothing, so
 all that passes is counted, in the end by its text. Tasks mine slices of documents in
-numpy and send one row for each different phrase.
+numpy. A mined phrase is a hash: 32 bits in one of many buckets, packed with its count
+into one row for each task and bucket; phrases that share a hash only pass more easily.
 
 Defined cases: null text is empty, null lang is ``und``, equal rows count each, other
 columns don't matter, an empty table has no phrases. Scores are exact for
@@ -37,7 +38,7 @@ SHARDS = 3
 #: Bits of the map of frequent phrases.
 BITS = 1 << 28
 #: Bytes of text that are mined together, and phrases that a task gathers before it sums them up.
-SLICE, GATHERED = 4 << 20, 6_000_000
+SLICE, GATHERED = 4 << 20, 4_000_000
 #: The language of documents without one.
 UNKNOWN = "und"
 
@@ -101,34 +102,49 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
 
 
 class Frequent:
-    """Bit maps of the frequent phrases of each length, as broadcast."""
+    """Bit maps of the frequent phrases of each length, as broadcast; ``buckets`` is how many hashes are dealt to."""
 
-    def __init__(self, maps: list):
-        self.maps = maps
+    def __init__(self, buckets: int, maps: list):
+        self.buckets, self.maps = buckets, maps
+
+    def deal(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and 32 bits of each hash."""
+        return (h >> np.uint64(32)) % np.uint64(self.buckets), h & np.uint64(0xFFFFFFFF)
 
     def __call__(self, n: int, h: np.ndarray) -> np.ndarray:
         bits = np.frombuffer(self.maps[n - 1].value, np.uint8)
-        bit = h % np.uint64(BITS)
-        return (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        bit = _bit(*self.deal(h))
+        return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _bit(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return ((low ^ (bucket * np.uint64(0x9E3779B1))) % np.uint64(BITS)).astype(np.int64)
 
 
-def _bit_map(spark: SparkSession, hashes: DataFrame):
-    """A broadcast bit map of column ``h``: BITS / 8 bytes at most go through the driver, whatever comes in."""
-    bit = F.pmod("h", F.lit(BITS))
-    rows = hashes.groupBy(F.floor(bit / 32768).alias("row")).agg(F.bitmap_construct_agg(bit % 32768).alias("map"))
+def _bit_map(spark: SparkSession, bits: DataFrame):
+    """A broadcast bit map of column ``bit``: BITS / 8 bytes at most go through the driver, whatever comes in."""
+    rows = bits.select(F.shiftright("bit", 15).alias("row"), (F.col("bit") % 32768).alias("at")).repartition("row").groupBy("row").agg(F.bitmap_construct_agg("at").alias("map"))
     out = bytearray(BITS // 8)
     for r in rows.collect():
         out[r["row"] * 4096 : (r["row"] + 1) * 4096] = r["map"]
     return spark.sparkContext.broadcast(bytes(out))
 
 
-def _mine(n: int, known: Frequent) -> Callable:
-    """Hashes of the phrases of ``n`` words in a shard, with their counts in a part of it."""
-    schema = pa.schema([("h", pa.int64()), ("shard", pa.int32()), ("n", pa.int64())])
+MINED = "bucket int, shard int, low binary, n binary"
+
+
+def _mine(n: int, known: Frequent, enough: int) -> Callable:
+    """The phrases of ``n`` words in a part of a shard; a count of ``enough`` stands for any higher one."""
+    schema = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("low", pa.binary()), ("n", pa.binary())])
 
     def summed(held: list[np.ndarray], shard: int) -> pa.RecordBatch:
-        h, count = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), shard, np.int32)), pa.array(count.astype(np.int64))], schema=schema)
+        bucket, low = known.deal(np.concatenate(held))
+        key, count = np.unique(bucket << np.uint64(32) | low, return_counts=True)
+        count = np.minimum(count, enough).astype(np.uint32)
+        bucket, first = np.unique(key >> np.uint64(32), return_index=True)
+        low, cuts = key.astype(np.uint32), [*first.tolist(), len(key)]
+        packed = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for x in (low, count)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), shard, np.int32)), *(pa.array(x, pa.binary()) for x in packed)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, size = TaskContext.get().partitionId() % SHARDS, [], 0
@@ -144,32 +160,72 @@ def _mine(n: int, known: Frequent) -> Callable:
     return run
 
 
+def _found(enough: int) -> Callable:
+    """The bits of the hashes that are frequent in some shard; rows come bucket by bucket."""
+
+    def bits(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+        key = np.concatenate([np.frombuffer(low, np.uint32).astype(np.uint64) | np.uint64(shard << 32) for shard, low, _ in rows])
+        count = np.concatenate([np.frombuffer(n, np.uint32) for *_, n in rows])
+        key, at = np.unique(key, return_inverse=True)
+        often = key[np.bincount(at.ravel(), count) >= enough] & np.uint64(0xFFFFFFFF)
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(np.uint64(bucket), often)))], names=["bit"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket and held:
+                    yield bits(bucket, held)
+                    held = []
+                bucket = b
+                held.append(tuple(row))
+        if held:
+            yield bits(bucket, held)
+
+    return run
+
+
+#: Rows of counted phrases that a task gathers before it sums them up.
+COUNTED = 1_000_000
+_COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
+
+
 def _count(longest: int, known: Frequent) -> Callable:
-    """The phrases of 2 words and more that may be frequent, by their text, with their counts in a slice; ``longest`` 1: all words."""
-    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
+    """The phrases of 2 words and more that may be frequent, by their text, with their counts in a part; ``longest`` 1: all words."""
+
+    def phrases(s: Slice, k: int) -> tuple[list[bytes], np.ndarray]:
+        at, h = s.starts(k, known)
+        at = at[known(k, h)]
+        # Equal phrases get equal numbers: that of the words before, made small again, times the words, plus the next word's.
+        part = s.ids[at]
+        for j in range(1, k):
+            first = np.unique(part, return_inverse=True)[1] if j > 1 else part
+            part = first * len(s.words) + s.ids[at + j]
+        _, i, count = np.unique(part, return_index=True, return_counts=True)
+        words = [[s.words[w] for w in s.ids[at[i] + j].tolist()] for j in range(k)]
+        return list(map(b" ".join, zip(*words, strict=True))), count
+
+    def summed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        out = pa.concat_tables(held).group_by(["lang", "size", "phrase"]).aggregate([("n", "sum")]).select(["lang", "size", "phrase", "n_sum"])
+        yield from out.rename_columns(_COUNTS.names).cast(_COUNTS).combine_chunks().to_batches(max_chunksize=200_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for s in _slices(batches):
-            if longest == 1:
-                rows = [(s.words, np.bincount(s.ids[s.ids >= 0], minlength=len(s.words)), 1)]
-            else:
-                rows = []
-                for k in range(2, longest + 1):
-                    at, h = s.starts(k, known)
-                    at = at[known(k, h)]
-                    # Equal phrases get equal numbers: that of the words before, made small again, times the words, plus the next word's.
-                    part = s.ids[at]
-                    for j in range(1, k):
-                        first = np.unique(part, return_inverse=True)[1] if j > 1 else part
-                        part = first * len(s.words) + s.ids[at + j]
-                    _, i, count = np.unique(part, return_index=True, return_counts=True)
-                    words = [[s.words[w] for w in s.ids[at[i] + j].tolist()] for j in range(k)]
-                    rows.append((list(map(b" ".join, zip(*words, strict=True))), count, k))
-            for phrases, count, k in rows:
-                full = count > 0
-                phrases = phrases if full.all() else [p for p, f in zip(phrases, full, strict=True) if f]
-                columns = [pa.array([s.lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int32)), pa.array(phrases, pa.binary()), pa.array(count[full].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            for k in range(2, longest + 1) if longest > 1 else (1,):
+                if k == 1:
+                    count = np.bincount(s.ids[s.ids >= 0], minlength=len(s.words))
+                    found, count = [w for w, c in zip(s.words, count.tolist(), strict=True) if c], count[count > 0]
+                else:
+                    found, count = phrases(s, k)
+                columns = [pa.array([s.lang] * len(found), pa.string()), pa.array(np.full(len(found), k, np.int32)), pa.array(found, pa.binary()), pa.array(count.astype(np.int64))]
+                held.append(pa.table(columns, schema=_COUNTS))
+                size += len(found)
+            if size >= COUNTED:
+                yield from summed(held)
+                held, size = [], 0
+        if size:
+            yield from summed(held)
 
     return run
 
@@ -182,24 +238,31 @@ def counts(docs: DataFrame, support: int = 10, longest: int = 3) -> tuple[DataFr
     rows = "lang string, size int, phrase binary, n long"
     local = -(-support // SHARDS)
     every = lambda df: df.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
-    words = saved(every(texts.mapInArrow(_count(1, Frequent([])), rows)))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = saved(every(texts.mapInArrow(_count(1, Frequent(buckets, [])), rows)))
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= support)
-    known = Frequent([_bit_map(spark, frequent.mapInArrow(_word_hashes, "h long"))])
+    known = Frequent(buckets, [_bit_map(spark, frequent.mapInArrow(_word_bits(buckets), "bit long"))])
     for k in range(2, longest + 1):
-        mined = texts.mapInArrow(_mine(k, known), "h long, shard int, n long")
-        found = mined.groupBy("h", "shard").agg(F.sum("n").alias("n")).where(F.col("n") >= local)
-        known = Frequent([*known.maps, _bit_map(spark, found)])
+        mined = texts.mapInArrow(_mine(k, known, local), MINED).repartition("bucket").sortWithinPartitions("bucket")
+        known = Frequent(buckets, [*known.maps, _bit_map(spark, mined.mapInArrow(_found(local), "bit long"))])
     phrases = every(texts.mapInArrow(_count(longest, known), rows)).where(F.col("f") >= support) if longest > 1 else frequent.where("false")
     return saved(frequent.unionByName(phrases)), total
 
 
-def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        langs, words = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w, xxhash.xxh32_intdigest(lang.encode())) for lang, w in zip(langs, words, strict=True)), np.uint64, len(words))
-        h = _mixed(np.full(len(h), 1, np.uint64) + h * _K[0])
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+def _word_bits(buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, words = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            h = np.fromiter((_word_hash(lang, w) for lang, w in zip(langs, words, strict=True)), np.uint64, len(words))
+            h = _mixed(np.full(len(h), 1, np.uint64) + h * _K[0])
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(*Frequent(buckets, []).deal(h)))], names=["bit"])
+
+    return run
+
+
+def _word_hash(lang: str, word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word, xxhash.xxh32_intdigest(lang.encode()))
 
 
 def score(a: Column, left: Column, right: Column, scale: int = 1_000_000) -> Column:
