@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 from .common import few, fresh, saved
 
 LENGTH = 100
-#: Bytes of an anchor, and of a symbol of the transforms: at most ten, and they divide the length.
+#: Bytes of an anchor, and of a symbol of the transforms: an even number that divides the length.
 GRAM, STEP = 32, 10
 #: Bits of the map of anchors.
 BITS = 1 << 28
 #: Bytes of text that are hashed at once; strings of a run.
 PIECE, RUN = 1 << 19, 4096
 #: Bytes of a shard, of a bucket's merge (one anchor's runs stay together), and of an anchor's runs that may be merged at once.
-SHARD, BUCKET, CROWD = 1 << 15, 1 << 20, 2 << 20
+SHARD, BUCKET, CROWD = 1 << 15, 1 << 18, 2 << 20
 
 _RANDOM = np.random.RandomState(7).randint(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -189,104 +189,105 @@ def _cut(known, length: int) -> Callable:
     return run
 
 
-def _stable(symbols: np.ndarray) -> np.ndarray:
+def _stable(numbers: np.ndarray) -> np.ndarray:
     """The order of small numbers, equal ones as they stand: numpy deals 16 bits out in passes over the bytes."""
-    if not len(symbols) or symbols.max() < 1 << 16:
-        return np.argsort(symbols.astype(np.uint16), kind="stable")
-    low = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
-    return low[np.argsort((symbols >> 16).astype(np.uint16)[low], kind="stable")]
-
-
-def _ranked(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1].ravel().astype(np.int64)
+    low = np.argsort((numbers & 0xFFFF).astype(np.uint16), kind="stable")
+    if not len(numbers) or numbers.max() < 1 << 16:
+        return low
+    return low[np.argsort((numbers >> 16).astype(np.uint16)[low], kind="stable")]
+
+
+def _dense(columns: list[np.ndarray]) -> np.ndarray:
+    """The rank of each row of some columns of small numbers, the last being the least important; equal rows share one."""
+    order = _stable(columns[-1])
+    for c in columns[-2::-1]:
+        order = order[_stable(c[order])]
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    out = np.empty(len(order), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
+    return out
 
 
 class Transforms:
     """Shards of some strings, each with its suffixes in the order of their first ``length`` bytes.
 
-    Each string is followed by STEP zero bytes. Those places are the suffixes without
-    bytes, from which a round of refinement starts; they stand first in every shard.
+    Each string is followed by STEP zero bytes: the suffixes without bytes, which stand
+    first in their shard.
     """
 
     def __init__(self, strings: list[bytes], length: int):
         self.length = length
         sizes = np.fromiter(map(len, strings), np.int64, len(strings)) + STEP
-        self.ends = np.cumsum(sizes)
-        self.begins = self.ends - sizes
-        total = int(self.ends[-1])
-        raw = np.frombuffer((b"\0" * STEP).join([*strings, b""]), np.uint8)
-        self.string = np.repeat(np.arange(len(strings)), sizes)
-        self.offset = np.arange(total) - self.begins[self.string]
-        self.left = self.ends[self.string] - STEP - np.arange(total)
-        # The symbol that begins at each place, as a small number; all of a string's end is one number, 0.
-        padded = np.concatenate([raw, np.zeros(STEP, np.uint8)])
-        words = np.zeros(total, np.uint64)
-        more = np.zeros(total, np.uint64)
-        for k in range(STEP):
-            part, at = (words, k) if k < 8 else (more, k - 8)
-            part |= padded[k : k + total].astype(np.uint64) << np.uint64(8 * at)
-        symbol = _ranked((_ranked(words) << 16) + more.astype(np.int64))
-        self.symbol = np.where(self.left > 0, symbol + 1, 0)
+        begins = np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        raw = np.frombuffer((b"\0" * STEP).join([*strings, bytes(STEP)]), np.uint8)
+        self.string = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+        self.offset = (np.arange(total) - begins[self.string]).astype(np.int32)
+        self.left = (sizes - STEP).astype(np.int32)[self.string] - self.offset
+        # The symbol that begins at each place, as a small number; 0 where a string has ended.
+        pairs = raw[:-1].astype(np.uint16) << 8 | raw[1:]
+        self.symbol = _dense([pairs[k : k + total] for k in range(0, STEP, 2)]) + 1
+        self.symbol[self.left <= 0] = 0
         # Shards are whole strings.
-        self.shard = _ranked(self.begins // SHARD)[self.string]
-        self.order = self._suffix_orders()
+        cuts = [*begins[np.flatnonzero(np.diff(begins // SHARD, prepend=-1))].tolist(), total]
+        self.order = np.concatenate([a + self._suffixes(slice(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)])
+        self.shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
 
-    def _suffix_orders(self) -> np.ndarray:
-        """Places, shard by shard, in the order of their suffixes, by doubling of what is compared; ends first."""
-        total = len(self.symbol)
-        rank, known = self.symbol, STEP
+    def _suffixes(self, part: slice) -> np.ndarray:
+        """Places of a shard in the order of their suffixes, by doubling of what is compared."""
+        rank, left, known = _dense([self.symbol[part]]), self.left[part], STEP
         while known < self.length:
             step = min(known, self.length - known)
-            ahead = np.zeros(total, np.int64)
+            ahead = np.zeros_like(rank)
             ahead[:-step] = rank[step:]
-            # What lies beyond a string's own end is none of its suffix.
-            ahead[self.left <= step] = 0
-            rank = _ranked(rank * (total + 2) + ahead)
+            ahead[left <= step] = 0  # what lies beyond a string's own end is no part of its suffix
+            rank = _dense([rank, ahead])
             known += step
-        return np.lexsort((rank, self.shard))
+        return _stable(rank)
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the merged order, and for each the number of its block: equal where the first ``length`` bytes are."""
-        shard = self.shard[self.order]
-        # The transform: the symbol STEP bytes before each suffix, -1 where its string has begun by then.
-        before = self.order - STEP
-        held = self.offset[self.order] >= STEP
-        transform = np.where(held, self.symbol[np.where(held, before, 0)], -1)
-        ends = self.left[self.order] <= 0
-        # At first the interleave knows of each entry only its shard and whether it is a string's end.
-        interleave = np.concatenate([shard[ends], shard[~ends]])
-        block = np.zeros(len(interleave), np.int64)
-        head = int(ends.sum())
-        for _ in range(self.length // STEP):
-            # The entries of each shard come in its own order: its transform is read from front to back.
-            read = np.empty(len(interleave), np.int64)
-            read[_stable(interleave)] = transform
-            to = read >= 0
-            symbols, shards, blocks = read[to], interleave[to], block[to]
-            dealt = _stable(symbols)
-            symbols, blocks = symbols[dealt], blocks[dealt]
-            new = np.ones(len(symbols), bool)
-            new[1:] = (symbols[1:] != symbols[:-1]) | (blocks[1:] != blocks[:-1])
-            interleave = np.concatenate([interleave[:head], shards[dealt]])
-            block = np.concatenate([np.zeros(head, np.int64), np.cumsum(new)])
+        """Starts of all strings of ``length`` bytes in the merged order, and for each the number of its block: equal strings share one.
+
+        Round r refines the suffixes that begin STEP * r bytes before such a string's end.
+        """
+        offset, left = self.offset[self.order], self.left[self.order]
+
+        def suffixes(r: int) -> np.ndarray:
+            """Entries, shard by shard in the shard's own order."""
+            return np.flatnonzero((offset >= self.length - STEP * r) & (left >= STEP * r))
+
+        at = suffixes(0)
+        # At first the interleave knows of each entry only its shard, and all are one block.
+        interleave, block = self.shard[at], np.zeros(len(at), np.int32)
+        for r in range(1, self.length // STEP + 1):
+            # Each shard's entries come in its own order: its transform, the symbol before each, is read from front to back.
+            read = np.empty(len(interleave), np.int32)
+            read[_stable(interleave)] = self.symbol[self.order[at] - STEP]
+            dealt = _stable(read)
+            read, block, interleave = read[dealt], block[dealt], interleave[dealt]
+            new = np.zeros(len(read), bool)
+            new[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
+            block = np.cumsum(new, dtype=np.int32)
+            at = suffixes(r)
         places = np.empty(len(interleave), np.int64)
-        places[_stable(interleave)] = self.order
+        places[_stable(interleave)] = self.order[at]
         return places, block
 
 
 def first_starts(strings: list[bytes], place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """First occurrences of the strings of ``length`` bytes in some strings: the number of the one it is in, and the offset there.
 
-    The occurrence of least ``place`` + offset is the first.
+    The occurrence of least ``place`` + offset is the first; no two have the same.
     """
     t = Transforms(strings, length)
     places, block = t.merged()
-    whole = t.left[places] >= length
-    places, block = places[whole], block[whole]
-    order = np.lexsort((place[t.string[places]] + t.offset[places], block))
-    first = np.ones(len(order), bool)
-    first[1:] = block[order][1:] != block[order][:-1]
-    kept = np.sort(places[order[first]])
+    at = place[t.string[places]] + t.offset[places]
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    least = np.minimum.reduceat(at, starts) if len(at) else at
+    kept = np.sort(places[at == least[block]])
     return t.string[kept], t.offset[kept]
 
 
@@ -342,7 +343,7 @@ def _merge(length: int) -> Callable:
 def _bit_map(spark: SparkSession, hashes: DataFrame):
     """A broadcast bit map of column ``h``: BITS / 8 bytes at most go through the driver, whatever comes in."""
     bit = F.pmod("h", F.lit(BITS))
-    rows = hashes.groupBy(F.floor(bit / 32768).alias("row")).agg(F.bitmap_construct_agg(bit % 32768).alias("map"))
+    rows = hashes.select(F.shiftright(bit, 15).alias("row"), (bit % 32768).alias("at")).repartition("row").groupBy("row").agg(F.bitmap_construct_agg("at").alias("map"))
     out = bytearray(BITS // 8)
     for r in rows.collect():
         out[r["row"] * 4096 : (r["row"] + 1) * 4096] = r["map"]
@@ -405,10 +406,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     key = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)).cast("long"), "th": F.xxhash64("text")}
     text = F.col("text").cast("binary")
     picked = docs.select(text.alias("text")).mapInArrow(_pick(length), "h long, n long")
-    known = _bit_map(spark, picked.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    picked = saved(picked.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    known = _bit_map(spark, picked)
     runs = docs.select(*(c.alias(n) for n, c in key.items()), text.alias("text")).mapInArrow(_cut(known, length), RUNS)
-    runs = saved(runs)
-    crowds = few(runs.groupBy("h").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > CROWD).select("h", F.ceil(F.col("size") / CROWD).alias("parts")))
+    # Between two picks of an anchor lie less than two lengths, so this is no less than the bytes of its runs.
+    parts = F.ceil(F.col("n") * (2 * length) / CROWD)
+    crowds = few(picked.where(parts > 1).select("h", parts.alias("parts")))
     dealt = runs.join(crowds, "h", "left").select(
         F.when(F.col("parts").isNull(), F.col("h")).otherwise(F.xxhash64("h", F.pmod(F.xxhash64("bytes"), F.coalesce("parts", F.lit(1))))).alias("key"),
         F.col("parts").isNotNull().alias("crowded"), "none", "id", "th", "start", "bytes",
