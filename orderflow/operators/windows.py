@@ -24,6 +24,12 @@ def with_event_time(df: DataFrame, watermark: str | None = WATERMARK) -> DataFra
     return df.withWatermark("event_time", watermark) if watermark and df.isStreaming else df
 
 
+def milliseconds(size: str) -> int:
+    """A length such as ``10 seconds`` in milliseconds."""
+    number, unit = size.split()
+    return int(number) * {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
+
+
 def members() -> Column:
     number = lambda c: F.coalesce(F.expr(f"try_cast({c} as bigint)"), F.lit(0))
     return number("adult") + number("yonger") + number("baby")

@@ -16,7 +16,7 @@ from ..functions import fmt_iso, key_concat
 from ..functions.parse import accepted, parse_logs, parse_orders, parse_view_list
 from ..operators import cep, enrich, logs, ranking, triggers, windows
 from ..sources import Refreshed
-from ..streaming import aggregates, sinks, stateful
+from ..streaming import aggregates, clock, sinks, stateful
 
 
 def orders_of(raw: DataFrame) -> DataFrame:
@@ -78,8 +78,14 @@ def region_documents(raw: DataFrame, size: str = "10 seconds") -> DataFrame:
     return out.withColumns({"startTime": fmt_iso("startWindowTime"), "endTime": fmt_iso("endWindowTime"), "id": key_concat("userRegion", "traffic")})
 
 
-def wide_type_messages(raw: DataFrame, products: DataFrame, size: str = "10 seconds") -> DataFrame:
-    return sinks.messages(windows.wide_type(enrich.join_product_left(orders_of(raw), products), size), "order_wide_agg")
+def wide_type_messages(raw: DataFrame, products: DataFrame, size: str = "10 seconds", time: str = "event") -> DataFrame:
+    """``time="clock"`` puts a stream's orders into the window in which they arrive; a batch has but event time."""
+    wide = enrich.join_product_left(orders_of(raw), products)
+    if time == "clock" and raw.isStreaming:
+        out = clock.clock_windows(wide, ["productType", "toursimType"], windows.milliseconds(size))
+    else:
+        out = windows.wide_type(wide, size)
+    return sinks.messages(out, "order_wide_agg")
 
 
 def departure_totals(raw: DataFrame, products: DataFrame) -> DataFrame:
@@ -97,8 +103,11 @@ def hourly_by_time(raw: DataFrame, interval_ms: int = 60_000) -> DataFrame:
     return aggregates.stat_time(orders_of(raw)) if raw.isStreaming else triggers.stat_time(orders_of(raw), interval_ms)
 
 
-def count_or_interval(raw: DataFrame, products: DataFrame, interval_ms: int, n: int) -> DataFrame:
-    form = stateful.stat_count_or_time if raw.isStreaming else triggers.stat_count_or_time
+def count_or_interval(raw: DataFrame, products: DataFrame, interval_ms: int, n: int, time: str = "event") -> DataFrame:
+    """``time="clock"`` flushes a stream's open batch when the clock passes the interval's end, also if no more orders come."""
+    form = triggers.stat_count_or_time
+    if raw.isStreaming:
+        form = clock.stat_count_or_time if time == "clock" else stateful.stat_count_or_time
     return form(enrich.join_product_left(orders_of(raw), products), interval_ms, n)
 
 
