@@ -8,11 +8,14 @@ what turns out small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..schemas import PRODUCT_COLUMNS, PUB_COLUMNS
 
+#: The time in ms from which a version of a dimension row holds.
+VALID_FROM = "valid_from"
 #: Estimated bytes up to which a dimension is broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -73,3 +76,23 @@ def join_product_pub(orders: DataFrame, products: DataFrame, pubs: DataFrame, la
     joined = _filled(joined, PRODUCT_COLUMNS, 0, "", "_product")
     joined = joined.join(_pub(pubs, latest), F.col("pubID") == F.col("_pub"), "left")
     return _filled(joined, PUB_COLUMNS, 0, "", "_pub")
+
+
+def product_json() -> Column:
+    """A product's columns under the names that orders have; the greater JSON stands where two versions have one time."""
+    return F.to_json(F.struct(*(F.col(c).alias(n) for n, c in PRODUCT_COLUMNS.items())), {"ignoreNullFields": "false"})
+
+
+def join_product_versions(orders: DataFrame, versions: DataFrame) -> DataFrame:
+    """ORDER_WIDE with the version of each product that held at the order's time: level -1 and "-1" before all versions.
+
+    ``versions`` are rows of the product dimension with ``valid_from``. Each holds until the
+    next one, so an order meets one row of its product's at most.
+    """
+    columns = [F.col(c).alias(n) for n, c in PRODUCT_COLUMNS.items()]
+    one = versions.where("product_id is not null and valid_from is not null").groupBy("product_id", VALID_FROM).agg(F.max(F.struct(product_json().alias("json"), *columns)).alias("v"))
+    until = F.lead(VALID_FROM).over(W.partitionBy("product_id").orderBy(VALID_FROM))
+    spans = sized(one.select(F.col("product_id").alias("_product"), F.col(VALID_FROM).alias("_from"), until.alias("_until"), *(F.col(f"v.{n}").alias(n) for n in PRODUCT_COLUMNS)))
+    held = (F.col("productID") == F.col("_product")) & (F.col("ct") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("ct") < F.col("_until")))
+    joined = orders.withColumn("fee", F.col("fee").cast("long")).join(spans, held, "left")
+    return _filled(joined.drop("_from", "_until"), PRODUCT_COLUMNS, -1, "-1", "_product")

@@ -114,6 +114,12 @@ def departures(df: DataFrame) -> DataFrame:
     return df.groupBy("depCode").agg(F.count("*").alias("orders"), F.sum(F.col("fee").cast("long")).alias("fee"), F.max("ct").alias("ct"))
 
 
+def accumulated(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored totals of departures with those of new orders added."""
+    both = stored.select("depCode", "orders", "fee", "ct").unionByName(new.select("depCode", "orders", "fee", "ct"))
+    return both.groupBy("depCode").agg(F.sum("orders").alias("orders"), F.sum("fee").alias("fee"), F.max("ct").alias("ct"))
+
+
 def distinct_users(df: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
     """Exact by default; on streams the exact set is kept in state, or HyperLogLog if not exact."""
     if not exact:

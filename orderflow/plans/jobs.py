@@ -16,13 +16,27 @@ from ..functions import fmt_iso, key_concat
 from ..functions.parse import accepted, parse_logs, parse_orders, parse_view_list
 from ..operators import cep, enrich, logs, ranking, triggers, windows
 from ..sources import Refreshed
-from ..streaming import aggregates, clock, sinks, stateful
+from ..streaming import aggregates, clock, sinks, stateful, totals, versions
 
 
 def orders_of(raw: DataFrame) -> DataFrame:
     return windows.with_event_time(accepted(parse_orders(raw)))
 
 
+def wide_orders(raw: DataFrame, products: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """Orders with their product, for the aggregates.
+
+    With a column ``valid_from`` the products are versions, and an order takes the one of its
+    time. As a stream they are changes that come while the job runs, after the versions of
+    ``initial``; else the dimension is what it was at the start.
+    """
+    if enrich.VALID_FROM not in products.columns:
+        return enrich.join_product_left(orders_of(raw), products)
+    if raw.isStreaming and products.isStreaming:
+        return versions.join_versions(accepted(parse_orders(raw)), products, initial)
+    return enrich.join_product_versions(orders_of(raw), products)
+
+
 def click_detail(raw: DataFrame) -> DataFrame:
     """Documents for an upsert by sid."""
     return logs.valid(logs.check_logs(logs.click_exts(logs.clicks(parse_logs(raw)))))
@@ -78,9 +92,9 @@ def region_documents(raw: DataFrame, size: str = "10 seconds") -> DataFrame:
     return out.withColumns({"startTime": fmt_iso("startWindowTime"), "endTime": fmt_iso("endWindowTime"), "id": key_concat("userRegion", "traffic")})
 
 
-def wide_type_messages(raw: DataFrame, products: DataFrame, size: str = "10 seconds", time: str = "event") -> DataFrame:
+def wide_type_messages(raw: DataFrame, products: DataFrame, size: str = "10 seconds", time: str = "event", initial: DataFrame | None = None) -> DataFrame:
     """``time="clock"`` puts a stream's orders into the window in which they arrive; a batch has but event time."""
-    wide = enrich.join_product_left(orders_of(raw), products)
+    wide = wide_orders(raw, products, initial)
     if time == "clock" and raw.isStreaming:
         out = clock.clock_windows(wide, ["productType", "toursimType"], windows.milliseconds(size))
     else:
@@ -93,6 +107,16 @@ def departure_totals(raw: DataFrame, products: DataFrame) -> DataFrame:
     return windows.departures(logs.valid(logs.check_orders(wide))).withColumn("ct", fmt_iso("ct"))
 
 
+def accumulated_totals(raw: DataFrame, products: DataFrame, stored: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """Stored totals by departure with the orders' added; on a stream those that a micro-batch changed, in append mode.
+
+    ``stored`` is what the store holds when the job starts with a fresh checkpoint: depCode, orders, fee and ct in ms.
+    """
+    valid = logs.valid(logs.check_orders(wide_orders(raw, products, initial)))
+    out = totals.accumulate(valid, stored) if raw.isStreaming else windows.accumulated(stored, windows.departures(valid))
+    return out.withColumn("time", fmt_iso("ct"))
+
+
 def hourly_by_count(raw: DataFrame, size_ms: int = 60_000, n: int = 50) -> DataFrame:
     form = stateful.stat_count if raw.isStreaming else triggers.stat_count
     return form(orders_of(raw), size_ms, n).withColumn("id", F.concat_ws("_", "traffic", "etTime"))
@@ -103,12 +127,18 @@ def hourly_by_time(raw: DataFrame, interval_ms: int = 60_000) -> DataFrame:
     return aggregates.stat_time(orders_of(raw)) if raw.isStreaming else triggers.stat_time(orders_of(raw), interval_ms)
 
 
-def count_or_interval(raw: DataFrame, products: DataFrame, interval_ms: int, n: int, time: str = "event") -> DataFrame:
+def hourly_at_intervals(raw: DataFrame, interval_ms: int = 60_000) -> DataFrame:
+    """Totals so far at the end of each interval of event time, with ``ptTime``; a stream gives the batch's rows, in append mode."""
+    form = totals.stat_time if raw.isStreaming else triggers.stat_time
+    return form(orders_of(raw), interval_ms).withColumn("id", F.concat_ws("_", "traffic", "etTime", "ptTime"))
+
+
+def count_or_interval(raw: DataFrame, products: DataFrame, interval_ms: int, n: int, time: str = "event", initial: DataFrame | None = None) -> DataFrame:
     """``time="clock"`` flushes a stream's open batch when the clock passes the interval's end, also if no more orders come."""
     form = triggers.stat_count_or_time
     if raw.isStreaming:
         form = clock.stat_count_or_time if time == "clock" else stateful.stat_count_or_time
-    return form(enrich.join_product_left(orders_of(raw), products), interval_ms, n)
+    return form(wide_orders(raw, products, initial), interval_ms, n)
 
 
 def region_by_count(raw: DataFrame, n: int) -> DataFrame:
