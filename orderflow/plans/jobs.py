@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions import fmt_iso, key_concat
-from ..functions.parse import accepted, parse_logs, parse_orders, parse_view_list
+from ..functions.parse import accepted, parse_logs, parse_orders, parse_view_list, rejected
 from ..operators import cep, enrich, logs, ranking, triggers, windows
 from ..sources import Refreshed
-from ..streaming import aggregates, clock, sinks, stateful, totals, versions
+from ..streaming import aggregates, clock, fanout, patterns, sinks, stateful, totals, versions
 
 
 def orders_of(raw: DataFrame) -> DataFrame:
@@ -159,6 +159,32 @@ def top_products(raw: DataFrame, size: str = "10 seconds", second_ms: int = 30_0
     return sinks.messages(best.select("productID", "traffic", "startWindowTime", "endWindowTime", "orders", "totalFee"), "order_topn")
 
 
+def best_of_windows(raw: DataFrame, size: str = "10 seconds", second_ms: int = 30_000, n: int = 30) -> DataFrame:
+    """The best products of each longer window over all products."""
+    if raw.isStreaming:
+        return patterns.top_per_window(orders_of(raw), size, second_ms, n)
+    return ranking.top_per_window(windows.product_traffic(orders_of(raw), size), second_ms, n)
+
+
+def dwell_matches(raw: DataFrame, **options) -> DataFrame:
+    """Every run of abnormal views, by its first and last; options are those of ``cep.matches``."""
+    views = windows.with_event_time(logs.page_view_exts(logs.page_views(parse_logs(raw))))
+    return patterns.cep_matches(views, **options) if raw.isStreaming else cep.matches(views, **options)
+
+
+def wide_everywhere(raw: DataFrame, products: DataFrame, pubs: DataFrame, index: Callable, topic: Callable, rejects: Callable, checkpoint: str) -> DataStreamWriter:
+    """Orders with both dimensions to the index and the topic, and what can't be read to the rejects, from one pass.
+
+    Each of the three gets (rows, batch): documents, messages, and raw values with a reason.
+    """
+    wide = lambda rows: enrich.join_product_pub(accepted(rows), products, pubs)
+    return fanout.fan_out(parse_orders(raw), [
+        fanout.Sink("rejects", rejected, rejects),
+        fanout.Sink("index", lambda rows: logs.valid(logs.check_documents(wide(rows))), index),
+        fanout.Sink("topic", lambda rows: sinks.messages(wide(rows), "order_mwide"), topic),
+    ], checkpoint)
+
+
 def start(writer: DataStreamWriter, every: str | None = None) -> StreamingQuery:
     """Starts a job's writer: at each processing-time interval ``every``, else over all that is there, and then ends.
 
