@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,9 @@ from .functions import fmt_hour, fmt_iso, fmt_pattern, json_out, key_concat, key
 from .functions import parse as p
 from .operators import cep, enrich, logs, ranking, triggers, windows
 from .plans import adapters as a
+from .plans import live
 from .schemas import ORDER_DETAIL, TOPN
-from .streaming import sinks
+from .streaming import patterns, sinks, stateful, totals, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -223,6 +225,24 @@ def join_hotel_left(spark, d):
     return _star(enrich.join_product_left(hotel, a.hotel_products(spark, d)).withColumn("productID", F.col("own")), "productType", "productLevel")
 
 
+@query("join_hotel_inner", a.with_sql(f"""SELECT {STAR}, s_name AS "productType", s_nationkey % 5 AS "productLevel" FROM event_orders JOIN supplier ON "pubID" = CAST(s_suppkey AS VARCHAR)""", "event_orders"))
+def join_hotel_inner(spark, d):
+    """The inner join where some orders have no match and go."""
+    hotel = a.event_orders(spark, d).withColumns({"own": F.col("productID"), "productID": F.col("pubID")})
+    return _star(enrich.join_product_inner(hotel, a.hotel_products(spark, d)).withColumn("productID", F.col("own")), "productType", "productLevel")
+
+
+VERSIONED = f"""SELECT "orderID", ct, "productID", product_type AS "productType", product_level + CASE WHEN ct >= {a.LATER} + {a.STAGGER} * CAST(product_id AS BIGINT) THEN 100 ELSE 0 END AS "productLevel",
+  CASE WHEN ct >= {a.LATER} + {a.STAGGER} * CAST(product_id AS BIGINT) THEN 'L' ELSE '' END || departure_code AS "depCode" FROM event_orders JOIN products ON "productID" = product_id"""
+
+
+@query("join_product_versions", a.with_sql(VERSIONED, "event_orders", "products"))
+def join_product_versions(spark, d):
+    """Each order with the version of its product that held at its time."""
+    wide = enrich.join_product_versions(a.event_orders(spark, d), a.product_versions(spark, d))
+    return wide.select("orderID", "ct", "productID", "productType", "productLevel", "depCode")
+
+
 @query("join_product_pub", a.with_sql(f"""SELECT {STAR}, coalesce(product_level, 0) AS "productLevel", coalesce(product_type, '') AS "productType", coalesce(toursim_tickets_type, '') AS "toursimType",
   coalesce(departure_code, '') AS "depCode", coalesce(des_city_code, '') AS "desCode", coalesce(pub_star, '') AS "pubStar", coalesce(pub_grade, '') AS "pubGrade", coalesce(is_national, '') AS "isNational"
 FROM star_orders LEFT JOIN products ON "productID" = product_id LEFT JOIN pubs ON "pubID" = pub_id""", "star_orders", "products", "pubs"))
@@ -440,13 +460,18 @@ def snk_upsert(spark, d):
 
 @query("snk_upsert_sid", a.with_sql(f'SELECT sid, "userID", "targetID", ct FROM event_logs WHERE {CLICKS}', "event_logs"))
 def snk_upsert_sid(spark, d):
+    """The table holds an older version of half of the clicks; all clicks then come in."""
     c = logs.click_exts(logs.clicks(a.event_logs(spark, d))).select("sid", "userID", "targetID", "ct")
-    return sinks.upserted(c, c, "sid", ["ct"])
+    older = c.where(F.xxhash64("sid") > 0).withColumns({"targetID": F.lit("older"), "ct": F.col("ct") - 1})
+    return sinks.upserted(older, c, "sid", ["ct"])
 
 
 @query("snk_accumulate", a.with_sql("SELECT \"depCode\", count(*) AS orders, CAST(sum(fee) AS BIGINT) AS fee, strftime(epoch_ms(max(ct)), '%Y-%m-%dT%H:%M:%S') || '+0000' AS ct FROM wide GROUP BY 1", "event_orders", "products", "wide"))
 def snk_accumulate(spark, d):
-    return windows.departures(enrich.join_product_left(a.event_orders(spark, d), a.products(spark, d))).withColumn("ct", fmt_iso("ct"))
+    """Totals of one half of the orders are stored, and those of the other are added."""
+    wide = enrich.join_product_left(a.event_orders(spark, d), a.products(spark, d))
+    stored = F.xxhash64("orderID") > 0
+    return windows.accumulated(windows.departures(wide.where(stored)), windows.departures(wide.where(~stored))).withColumn("ct", fmt_iso("ct"))
 
 
 @query("snk_kv", a.with_sql(f"""SELECT key, '{{"userRegion":"' || "userRegion" || '","traffic":"' || traffic || '","startWindowTime":"' || "startWindowTime" || '","orders":"' || orders || '"}}' AS value FROM (
@@ -460,3 +485,78 @@ def snk_kv(spark, d):
 @query("snk_parquet_hourly", a.with_sql(f"SELECT {ORDERS}, {HOUR_SQL} AS dt_hour FROM event_orders", "event_orders"))
 def snk_parquet_hourly(spark, d):
     return sinks.landing(a.event_orders(spark, d).select(*ORDER_DETAIL.names))
+
+
+# Streams over the whole table, run to the end. What a watermark has not passed stays in state.
+
+CLOSED = "(SELECT max(ct) - 15000 FROM event_orders)"
+
+
+@query("stream_region_traffic", a.with_sql(f"""SELECT "userRegion", traffic, {_start(HOUR)} AS "startWindowTime", {_start(HOUR)} + {HOUR} AS "endWindowTime", {M4} FROM event_orders
+WHERE {_start(HOUR)} + {HOUR} <= {CLOSED} GROUP BY 1, 2, 3, 4""", "event_orders"))
+def stream_region_traffic(spark, d):
+    return live.finished(windows.region_traffic(a.event_orders(spark, d, stream=True), "1 hour"))
+
+
+@query("stream_count_windows", a.with_sql(_count_sql('"userRegion", traffic', 10).replace("source", "event_orders"), "event_orders"))
+def stream_count_windows(spark, d):
+    return live.finished(stateful.count_windows(a.event_orders(spark, d, stream=True), ["userRegion", "traffic"], 10))
+
+
+@query("stream_topn_per_window", a.with_sql(f"""SELECT * FROM (WITH {LEVEL1} SELECT window2, "productID", traffic, "startWindowTime", "endWindowTime", orders, "totalFee", row_number() OVER (PARTITION BY window2 ORDER BY orders DESC, "totalFee" DESC, "productID", traffic, "startWindowTime") AS rank
+FROM level1 WHERE window2 + {3 * DAY} <= {CLOSED}) WHERE rank <= 30""", "event_orders"))
+def stream_topn_per_window(spark, d):
+    return live.finished(patterns.top_per_window(a.event_orders(spark, d, stream=True), "1 day", 3 * DAY, 30))
+
+
+@query("stream_accumulate", a.with_sql('SELECT "depCode", count(*) AS orders, CAST(sum(fee) AS BIGINT) AS fee, max(ct) AS ct FROM wide GROUP BY 1', "event_orders", "products", "wide"))
+def stream_accumulate(spark, d):
+    """Half of the orders are totals in the store when the stream of the others begins."""
+    stored, dim = F.xxhash64("orderID") > 0, a.products(spark, d)
+    before = windows.departures(enrich.join_product_left(a.event_orders(spark, d).where(stored), dim))
+    live_rows = enrich.join_product_left(a.event_orders(spark, d, stream=True).where(~stored), dim)
+    shown = live.finished(totals.accumulate(live_rows, before))
+    return sinks.latest(shown.unionByName(before), "depCode", ["orders"])
+
+
+@query("stream_distinct_users", a.with_sql('SELECT "userRegion", traffic, count(DISTINCT "userID") AS users FROM event_orders GROUP BY 1, 2', "event_orders"))
+def stream_distinct_users(spark, d):
+    shown = live.finished(totals.distinct_users(a.event_orders(spark, d, stream=True), ["userRegion", "traffic"], 4))
+    return shown.groupBy("userRegion", "traffic").agg(F.max("users").alias("users"))
+
+
+@query("stream_product_versions", a.with_sql(f"SELECT * FROM ({VERSIONED}) WHERE ct <= {CLOSED}", "event_orders", "products"))
+def stream_product_versions(spark, d):
+    """The later versions come as a stream, the others are there at the start."""
+    known = a.product_versions(spark, d)
+    later = known.where("valid_from > 0")
+    path = live.folder(spark)
+    later.write.parquet(f"{path}/changes")
+    changes = spark.readStream.schema(later.schema).parquet(f"{path}/changes")
+    orders = a.event_orders(spark, d, stream=True, watermark=None).drop("event_time")
+    wide = versions.join_versions(orders, changes, known.where("valid_from = 0"), salts=2)
+    return live.finished(wide.select("orderID", "ct", "productID", "productType", "productLevel", "depCode"))
+
+
+@query("stream_upsert_twice", a.with_sql("""SELECT id, "orderID", fee, ct FROM (SELECT "userID" || '_' || "productID" AS id, "orderID", CAST(fee AS BIGINT) AS fee, ct, row_number() OVER (PARTITION BY "userID", "productID" ORDER BY ct DESC, "orderID" DESC) AS n FROM event_orders) WHERE n = 1""", "event_orders"))
+def stream_upsert_twice(spark, d):
+    """An upsert whose query is lost after a batch is written and is then started again, and whose table is folded in between."""
+    path = live.folder(spark)
+    table = sinks.Upserts(spark, f"{path}/table", "id", ["ct", "orderID"])
+    lost = [True]
+
+    def write(rows, batch):
+        table.write(rows, batch)
+        if lost.pop():
+            raise RuntimeError("lost on purpose")
+
+    for _ in range(2):
+        rows = a.event_orders(spark, d, stream=True).select(key_concat("userID", "productID").alias("id"), "orderID", F.col("fee").cast("long").alias("fee"), "ct")
+        try:
+            live.run(rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint"))
+        except StreamingQueryException as e:
+            if "lost on purpose" not in str(e):
+                raise
+            lost.append(False)
+            table.fold(0)
+    return table.read()

@@ -42,9 +42,15 @@ def key_sanitize(name: str) -> Column:
 
 
 def key_hash(key: str) -> Column:
-    """The key's 32-bit hash, h = 31 h + character over its characters, without its sign."""
+    """The key's 32-bit hash, h = 31 h + unit over its UTF-16 units, without its sign.
+
+    A character beyond U+FFFF is two units.
+    """
     letters = F.filter(F.split(key, ""), lambda c: c != "")
-    h = F.aggregate(letters, F.lit(0).cast("long"), lambda a, c: (a * 31 + F.ascii(c)) % (1 << 32))
+    code = F.transform(letters, lambda c: F.ascii(c).cast("long"))
+    more = lambda a, unit: (a * 31 + unit) % (1 << 32)
+    two = lambda a, c: more(more(a, F.shiftright(c - 0x10000, 10) + 0xD800), (c - 0x10000) % 1024 + 0xDC00)
+    h = F.aggregate(code, F.lit(0).cast("long"), lambda a, c: F.when(c > 0xFFFF, two(a, c)).otherwise(more(a, c)))
     return F.when(h > 1 << 31, (1 << 32) - h).otherwise(h)
 
 

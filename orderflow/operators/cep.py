@@ -19,26 +19,28 @@ def _islands(df: DataFrame, keys: list[str], low: int, high: int, within_ms: int
     """Abnormal rows with their island and place in (keys, time block).
 
     Each row also stands in the block before its own, as what may end a match that
-    starts there; so neither a busy key nor a run without keys is one task.
+    starts there; so neither a busy key nor a run without keys is one task. Equal rows are
+    numbered, alike in both blocks, by their distance from the first of them.
     """
     own = F.floor(F.col("ct") / within_ms)
     df = df.withColumns({"_bad": abnormal(low, high), "_own": own, "_block": F.explode(F.array(own, own - 1))})
     keys = [*keys, "_block"]
-    w = W.partitionBy(*keys).orderBy("ct", tie)
+    w = W.partitionBy(*keys).orderBy("ct", tie, *(c for c in PAGE_VIEW_ALERT.names if c not in ("ct", tie)))
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumns({"_island": F.sum((~F.col("_bad")).cast("long")).over(so_far), "_pos": F.row_number().over(w).cast("long")})
+    place = F.row_number().over(w).cast("long")
+    df = df.withColumns({"_island": F.sum((~F.col("_bad")).cast("long")).over(so_far), "_pos": place, "_repeat": place - F.rank().over(w)})
     return df.where("_bad"), [*keys, "_island"]
 
 
 def alerts(df: DataFrame, times: int = 2, within_ms: int = 180_000, low: int = 5, high: int = 50, keys: list[str] = ("userID",), tie: str = "sid") -> DataFrame:
     """PAGE_VIEW_ALERT and ``tie`` of each event in a match, once."""
     bad, island = _islands(df, list(keys), low, high, within_ms, tie)
-    w = W.partitionBy(*island).orderBy("ct", tie)
+    w = W.partitionBy(*island).orderBy("_pos")
     starts = (F.lead("ct", times - 1).over(w) - F.col("ct") < within_ms) & (F.col("_own") == F.col("_block"))
     bad = bad.withColumn("_starts", F.coalesce(starts, F.lit(False)).cast("int"))
     hit = F.max("_starts").over(w.rowsBetween(-(times - 1), 0)) == 1
     found = bad.withColumn("_hit", hit).where("_hit")
-    return found.select(*PAGE_VIEW_ALERT.names, *([tie] if tie not in PAGE_VIEW_ALERT.names else [])).distinct()
+    return found.select(*PAGE_VIEW_ALERT.names, *([tie] if tie not in PAGE_VIEW_ALERT.names else []), "_repeat").distinct().drop("_repeat")
 
 
 def matches(df: DataFrame, times: int = 2, within_ms: int = 180_000, low: int = 5, high: int = 50, keys: list[str] = ("userID",), tie: str = "sid") -> DataFrame:

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_out
-from ..operators.windows import with_event_time
+from ..operators.enrich import sized
+from ..operators.windows import WATERMARK, with_event_time
 from ..schemas import ORDER_WIRE
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # A stream takes a single file only by a pattern.
+    return spark.readStream.schema(df.schema).parquet(f"{sf_dir}/{name}.parque[t]") if stream else df
 
 
 def _ms(name: str):
@@ -30,9 +33,9 @@ def _k():
     return F.regexp_extract("props", r"(\d+)", 1).cast("int")
 
 
-def event_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small orders from ``events``, for windows, triggers and ranks."""
-    e = _table(spark, sf_dir, "events").withColumns({"k": _k(), "fee": _cents("value"), "ct": _ms("ts")})
+def event_orders(spark: SparkSession, sf_dir: str, stream: bool = False, watermark: str | None = WATERMARK) -> DataFrame:
+    """Small orders from ``events``, for windows, triggers and ranks; a stream has its watermark."""
+    e = _table(spark, sf_dir, "events", stream).withColumns({"k": _k(), "fee": _cents("value"), "ct": _ms("ts")})
     s = lambda c: F.expr(c).cast("string")
     out = e.select(
         s("event_id").alias("orderID"), s("user_id").alias("userID"), s("k").alias("productID"), s("user_id").alias("pubID"), s("1000 + user_id").alias("userMobile"),
@@ -40,7 +43,7 @@ def event_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("fee").cast("int").alias("price"), F.col("fee").cast("int").alias("fee"), s("k % 2").alias("hasActivity"),
         s("k % 3 + 1").alias("adult"), s("k % 2").alias("yonger"), s("k % 5 % 2").alias("baby"), "ct",
     )
-    return with_event_time(out)
+    return with_event_time(out, watermark)
 
 
 def star_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ def star_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
         .join(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(t("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(sized(t("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
     )
     s = lambda c: F.expr(c).cast("string")
     out = rows.select(
@@ -70,6 +73,17 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: From when the later version of product k holds: so many milliseconds a product after a day of the events' month.
+LATER, STAGGER = 1_705_000_000_000, 3_600_000
+
+
+def product_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of each product: one from the beginning, and one of another level and departure from a time of its own."""
+    one = products(spark, sf_dir)
+    later = one.withColumns({"product_level": F.col("product_level") + 100, "departure_code": F.concat(F.lit("L"), "departure_code"), "valid_from": LATER + STAGGER * F.col("product_id").cast("bigint")})
+    return one.withColumn("valid_from", F.lit(0).cast("bigint")).unionByName(later)
+
+
 def pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: F.expr(c).cast("string")
     return _table(spark, sf_dir, "supplier").select(

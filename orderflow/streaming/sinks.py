@@ -63,7 +63,8 @@ class Upserts:
     """A Parquet folder with the latest rows of each micro-batch; the newest row of each id is the table's.
 
     A batch writes a folder of its own and nothing else, and a batch that is run again
-    replaces its folder, so a restarted query leaves the table as it was.
+    replaces its folder, so a restarted query leaves the table as it was. ``fold`` joins the
+    folders of many batches into one.
     """
 
     def __init__(self, spark, path: str, key: str, order: list[str]):
@@ -73,9 +74,46 @@ class Upserts:
         """For ``foreachBatch``."""
         latest(rows, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
+    def _folders(self) -> tuple[int | None, list[int]]:
+        """The newest fold that is complete, and the batches after it."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        complete = lambda p: files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        names = [s.getPath() for s in (files.listStatus(place) if files.exists(place) else []) if s.isDirectory()]
+        number = lambda kind: sorted(int(p.getName().split("=")[1]) for p in names if p.getName().startswith(f"{kind}=") and complete(p))
+        folds = number("fold")
+        fold = folds[-1] if folds else None
+        return fold, [b for b in number("batch") if fold is None or b > fold]
+
+    def _versions(self, fold: int | None, batches: list[int]) -> DataFrame:
+        frames = [self.spark.read.parquet(f"{self.path}/fold={fold}").withColumn("batch", F.lit(fold))] if fold is not None else []
+        if batches:
+            frames.append(self.spark.read.option("basePath", self.path).parquet(*(f"{self.path}/batch={b}" for b in batches)))
+        if not frames:
+            raise FileNotFoundError(f"no batch has been written to {self.path}")
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
     def read(self) -> DataFrame:
-        every = self.spark.read.parquet(self.path)
-        return latest(every, self.key, [*self.order, "batch"]).drop("batch")
+        return latest(self._versions(*self._folders()), self.key, [*self.order, "batch"]).drop("batch")
+
+    def fold(self, up_to: int) -> None:
+        """Joins all batches up to that one, which must be committed, into one folder, and then drops theirs.
+
+        Until the folder is complete readers use the batches, and then only the folder; a fold
+        that is cut short can be run again.
+        """
+        fold, batches = self._folders()
+        batches = [b for b in batches if b <= up_to]
+        if not batches:
+            return
+        rows = latest(self._versions(fold, batches), self.key, [*self.order, "batch"]).drop("batch")
+        rows.write.mode("overwrite").parquet(f"{self.path}/fold={up_to}")
+        place = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = place(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(place(self.path)):
+            kind, _, number = status.getPath().getName().partition("=")
+            if (kind == "batch" and int(number) <= up_to) or (kind == "fold" and int(number) < up_to):
+                files.delete(status.getPath(), True)
 
 
 def to_store(df: DataFrame, put, checkpoint: str) -> DataStreamWriter:

@@ -1,0 +1,112 @@
+"""Folded upserts, closed hours, message partitions and repeated alerts."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from orderflow.functions import key_hash
+from orderflow.functions import parse as p
+from orderflow.operators import cep, logs, windows
+from orderflow.plans import jobs
+from orderflow.streaming import hours, sinks
+from tests.test_operators import log, order, raw
+from tests.test_streaming import files, run, stream
+
+H0 = 1_591_326_000_000  # a full hour
+
+
+def utf16_hash(key):
+    """The hash over 16-bit units, as a string's is on the JVM."""
+    units = key.encode("utf-16-be")
+    h = 0
+    for i in range(0, len(units), 2):
+        h = (h * 31 + int.from_bytes(units[i : i + 2], "big")) % 2**32
+    return abs(h - 2**32 if h >= 2**31 else h)
+
+
+def test_the_hash_of_a_key_is_over_utf16_units(spark):
+    keys = ["", "a", "abc", "é", "日本", "\U0001f600x", "x\U0010ffff", "ab" * 50, "퟿"]
+    got = spark.createDataFrame([(k,) for k in keys], "key string").select("key", key_hash("key")).collect()
+    assert {r[0]: r[1] for r in got} == {k: utf16_hash(k) for k in keys}
+    objects = spark.sparkContext._jvm.java.util.Objects
+    assert all(utf16_hash(k) == abs(objects.hashCode(k)) for k in keys) and utf16_hash("\U0001f600x") == 54959989
+
+
+def test_equal_views_are_alerts_each(spark):
+    rows = [log("s1", action="07", ct=1000, duration="60"), log("s1", action="07", ct=1000, duration="60"), log("s2", action="07", ct=2000, duration="60"), log("s3", action="07", ct=9_000_000, duration="60")]
+    views = logs.page_views(p.parse_logs(raw(spark, *rows)))
+    for keys in (["userID"], []):
+        assert sorted(r["sid"] for r in cep.alerts(views, keys=keys).collect()) == ["s1", "s1", "s2"]
+
+
+def test_equal_views_on_a_stream_are_the_batch(spark, tmp_path):
+    (src := tmp_path / "in").mkdir()
+    rows = [log(f"s{i % 4}", action="07", ct=H0 + 1000 * (i // 3), duration="60" if i % 5 else "20", exts="") for i in range(40)]
+    files(src, rows, [log("far", action="07", ct=4_000_000_000_000, user="z", duration="20", exts="")])
+    got = run(spark, jobs.dwell_alerts(stream(spark, src), within_ms=2500), tmp_path)
+    assert got and sorted(got) == sorted(map(tuple, jobs.dwell_alerts(raw(spark, *rows), within_ms=2500).collect()))
+
+
+def test_a_fold_keeps_the_table(spark, tmp_path):
+    table = sinks.Upserts(spark, f"file://{tmp_path}/table", "id", ["ct"])
+    frame = lambda *rows: spark.createDataFrame(rows, "id string, v long, ct long")
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    table.write(frame(("a", 1, 1), ("b", 1, 1)), 0)
+    table.write(frame(("a", 2, 2)), 1)
+    table.write(frame(("a", 3, 2), ("c", 1, 1)), 2)  # the later batch stands where the order ties
+    read = lambda: {r["id"]: r["v"] for r in table.read().collect()}
+    want = {"a": 3, "b": 1, "c": 1}
+    assert read() == want
+    table.fold(1)
+    assert read() == want and sorted(x.name for x in (tmp_path / "table").iterdir()) == ["batch=2", "fold=1"]
+    table.write(frame(("b", 9, 0)), 3)  # older than what is there
+    assert read() == want
+    table.write(frame(("a", 2, 2)), 1)  # a folded batch that is run again adds nothing
+    table.fold(0)
+    assert read() == want
+    (tmp_path / "table" / "fold=3").mkdir()  # a fold that was cut short is not read
+    assert read() == want
+    table.fold(3)
+    assert read() == want and sorted(x.name for x in (tmp_path / "table").iterdir()) == ["fold=3"]
+
+
+def test_hours_are_closed_once(spark, tmp_path):
+    (src := tmp_path / "in").mkdir()
+    hour = hours.HOUR
+    batches = [
+        [order(f"a{i}", H0 + i * 1000) for i in range(5)], [order("b", H0 + hour + 1), order("c", H0 + 6000)], [order("d", H0 + hour + 20_000)],
+        [order("late", H0 + 7000), order("e", H0 + hour + 30_000)], [order("f", H0 + 5 * hour)],
+    ]
+    files(src, *batches)
+    store = hours.ClosingHours(spark, f"file://{tmp_path}/store", files=2)
+    lost = [True]
+
+    def write(rows, batch):
+        store.write(rows, batch)
+        if batch == 2 and lost.pop():
+            lost.append(False)
+            raise RuntimeError("lost after the hour was closed")
+
+    for k in range(2):
+        df = p.accepted(p.parse_orders(stream(spark, src)))
+        try:
+            jobs.start(df.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "ck"))).awaitTermination(120)
+            assert k == 1
+        except Exception as e:
+            assert "lost after the hour" in str(e) and k == 0
+    got = {(r["orderID"], r["dt_hour"]) for r in store.closed().collect()}
+    first, second = int(store.name(H0 // hour)), int(store.name(H0 // hour + 1))
+    assert got == {*((f"Oa{i}", first) for i in range(5)), ("Oc", first), ("Ob", second), ("Od", second), ("Oe", second)}
+    assert [(r["orderID"], r["missed_hour"]) for r in store.late().collect()] == [("Olate", H0 // hour)]
+    folder = tmp_path / "store" / "closed" / f"dt_hour={first}"
+    assert len(list(folder.glob("*.parquet"))) == 2 and (folder / "_SUCCESS").exists()
+    # Only the hour that no watermark has passed is open; closing again does nothing.
+    assert [x.name for x in (tmp_path / "store" / "open").iterdir()] == [f"hour={H0 // hour + 5}"]
+    assert store.close_until(H0 + 2 * hour) == []
+    assert spark.read.parquet(f"{tmp_path}/store/open").select("orderID").first()[0] == "Of"
+
+
+def test_windows_in_milliseconds():
+    assert windows.milliseconds("1 day") == 86_400_000 and json.dumps(windows.milliseconds("5 minutes")) == "300000"
