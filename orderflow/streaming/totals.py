@@ -10,51 +10,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fmt_hour
+from .stateful import held, longs, numbers
 
 DAY = 86_400_000
 
 
 class Accumulated(StatefulProcessor):
-    """Orders, fee and latest time of a key, beginning with what the store holds for it."""
+    """Orders, fee, latest time and further sums of a key, beginning with what the store holds for it."""
+
+    def __init__(self, more: list[str]):
+        self.more = more
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "orders long, fee long, ct long")
+        self.totals = handle.getValueState("totals", longs("orders", "fee", "ct", *self.more))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self._add(initialState)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        orders, fee, ct = self._add(pd.concat(list(rows), ignore_index=True))
-        yield pd.DataFrame([{"depCode": key[0], "orders": orders, "fee": fee, "ct": ct}])
-
-    def _add(self, df: pd.DataFrame) -> tuple[int, int, int]:
-        orders, fee, ct = (int(x) for x in self.totals.get()) if self.totals.exists() else (0, 0, -(2**63))
-        held = (orders + int(df["orders"].sum()), fee + int(df["fee"].sum()), max(ct, int(df["ct"].max())))
-        self.totals.update(held)
-        return held
+        sums = self._add(pd.concat(list(rows), ignore_index=True))
+        yield pd.DataFrame([{"depCode": key[0]} | dict(zip(("orders", "fee", "ct", *self.more), sums, strict=True))])
+
+    def _add(self, df: pd.DataFrame) -> tuple[int, ...]:
+        known = self.totals.exists()
+        orders, fee, ct, *more = held(self.totals, 3 + len(self.more))
+        latest = int(df["ct"].max())
+        sums = (int(df[m].sum()) + v for m, v in zip(self.more, more, strict=True))
+        now = (orders + int(df["orders"].sum()), fee + int(df["fee"].sum()), max(ct, latest) if known else latest, *sums)
+        self.totals.update(now)
+        return now
 
     def close(self) -> None:
         pass
 
 
-def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sums(more: list[str]):
     """Sums a task's rows by key, as there are few keys to shuffle to."""
-    for df in frames:
-        out = df.groupby("depCode", dropna=False).agg(orders=("fee", "size"), fee=("fee", "sum"), ct=("ct", "max")).reset_index()
-        yield out.assign(depCode=out["depCode"].astype(object).where(out["depCode"].notna(), None))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            out = df.groupby("depCode", dropna=False).agg(orders=("fee", "size"), fee=("fee", "sum"), ct=("ct", "max"), **{m: (m, "sum") for m in more}).reset_index()
+            yield out.assign(depCode=out["depCode"].astype(object).where(out["depCode"].notna(), None))
+
+    return run
 
 
-def accumulate(df: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def accumulate(df: DataFrame, stored: DataFrame | None = None, more: list[str] = ()) -> DataFrame:
     """The totals of each departure after each micro-batch in which it has orders: depCode, orders, fee, ct.
 
     ``stored`` are totals to which a fresh checkpoint adds, a row for each key; a query that
     is started again from its checkpoint has them in its state and doesn't read them. What
-    comes out are totals, so a batch that is run again writes what it wrote before.
+    comes out are totals, so a batch that is run again writes what it wrote before. ``more``
+    are further columns to sum; a job may get them later, and then they count from there.
     """
-    fields = "depCode string, orders long, fee long, ct long"
-    rows = df.select("depCode", F.coalesce(F.col("fee").cast("long"), F.lit(0)).alias("fee"), "ct").mapInPandas(_sums, fields)
-    first = stored.select("depCode", "orders", "fee", "ct").groupBy("depCode") if stored is not None else None
-    return rows.groupBy("depCode").transformWithStateInPandas(Accumulated(), fields, "append", "None", first)
+    more = list(more)
+    fields = "depCode string, " + longs("orders", "fee", "ct", *more)
+    rows = df.select("depCode", F.coalesce(F.col("fee").cast("long"), F.lit(0)).alias("fee"), "ct", *numbers(more)).mapInPandas(_sums(more), fields)
+    first = stored.select("depCode", "orders", "fee", "ct", *more).groupBy("depCode") if stored is not None else None
+    return rows.groupBy("depCode").transformWithStateInPandas(Accumulated(more), fields, "append", "None", first)
 
 
 class IntervalSums(StatefulProcessor):
