@@ -2,13 +2,17 @@
 
 Rows are ordered by the hash of their text, so equal texts stand together. A
 sample drawn with a chance in proportion to a row's size gives the quantile
-boundaries of many fine ranges. The ranges' true sizes are counted; a range that
-is over its share (a group of copies, say) is subdivided by the hash of the key.
+boundaries of many fine ranges. The ranges' true sizes are counted. In a range that is
+over its share each large group of equal texts becomes a piece of its own, and what is
+left is subdivided by the hash of the text, so equal texts stay together. Only a group
+that doesn't fit into a shard's share is subdivided itself, by the hash of the key.
 The pieces, a bounded number, are dealt to the shards, largest first, each to the
 least filled shard, which makes the shards' bytes near equal.
 
-A piece is numbered in parts of a size that suits one task, dealt by hash, so neither a
-piece nor a shard stands in one task. The parts' counts give each its first slot.
+All this is planned on a table of hash, key and size, so the texts are read twice: for
+that table and for the result. A piece is numbered in parts of a size that suits one
+task, dealt by hash, so neither a piece nor a shard stands in one task. The parts' counts
+give each its first slot.
 
 Rows that agree in text and key can't be told apart by hash. If a group of such rows is
 over its share, the rows are written to the shared folder with a number for each first,
@@ -16,7 +20,7 @@ and dealt by that number: read again, a row keeps its number, so a task that is
 again deals alike.
 
 Only sums for each piece reach the driver: at most ``3 * ranges`` rows, whatever the
-input's size.
+input's size, and of the large groups at most ``2 * ranges / PART``.
 
 Defined cases: a null text has zero bytes and stands before all texts; repeated rows
 and rows without key get slots of their own and are spread like others; an empty table
@@ -38,7 +42,7 @@ from .common import fresh, saved
 ROW_BYTES = 8
 #: Fine ranges for each shard, and sampled rows for each range.
 RANGES, SAMPLES = 48, 12
-#: Shares (each 1 / ranges of all) beyond which a range is subdivided, and of each part.
+#: Shares (each 1 / ranges of all) beyond which a range is looked into, and those of a large group and of each part.
 OVERFULL, PART = 8, 4
 #: Bytes and rows wanted in a part of a piece, which one task numbers.
 TASK_BYTES, TASK_ROWS = 128 << 20, 1_000_000
@@ -87,26 +91,37 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     bytes_ = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + ROW_BYTES
     null_first = F.when(F.col(f"`{text}`").isNull(), F.lit(-(1 << 63))).otherwise(F.xxhash64(F.col(f"`{text}`")))
     df = df.withColumns({h: null_first, size: bytes_, number: F.lit(0).cast("long")})
-    keys = df.select(F.col(h).alias("h"), F.col(f"`{key}`").cast("string").alias("key"), F.col(size).alias("size"))
+    keys = saved(df.select(F.col(h).alias("h"), F.col(f"`{key}`").cast("string").alias("key"), F.col(size).alias("size")))
     n, total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     points = split_points(keys, total, ranges)
-    share = lambda r: max(r["size"] / max(1, total), r["n"] / max(1, n)) * ranges
+    share = lambda rows, size: max(size / max(1, total), rows / max(1, n)) * ranges
     sums = (F.count("*").alias("n"), F.sum("size").alias("size"))
-    found = keys.groupBy(range_of(F.col("h"), points).alias("r")).agg(*sums).collect()
-    # A range that holds OVERFULL shares of the bytes or the rows is subdivided; others, with the groups in them, stay whole.
-    split = {r["r"]: 1 + int(share(r) / PART) for r in found if share(r) > OVERFULL}
-    within = F.lit(0).cast("long")
-    if split:
-        overfull = keys.where(range_of(F.col("h"), points).isin(list(split)))
+    found = {r["r"]: [r["n"], r["size"]] for r in keys.groupBy(range_of(F.col("h"), points).alias("r")).agg(*sums).collect()}
+    over = [r for r, x in found.items() if share(*x) > OVERFULL]
+    within, base = F.lit(0).cast("long"), max(1, -(-total // (ranges * TASK_BYTES)), -(-n // (ranges * TASK_ROWS)))
+    many, text_key = F.lit(base), F.col(f"`{key}`").cast("string")
+    if over:
         most = PART / ranges
-        hot = overfull.groupBy("h", "key").agg(*sums).where((F.col("n") > 1) & ((F.col("size") > most * total) | (F.col("n") > most * n)))
-        if not hot.isEmpty():
+        large = keys.where(range_of(F.col("h"), points).isin(over)).groupBy("h", range_of(F.col("h"), points).alias("r")).agg(*sums)
+        large = sorted(large.where((F.col("size") > most * total) | (F.col("n") > most * n)).collect(), key=lambda r: r["h"])
+        code, cuts, parted = {}, {}, {}
+        for i, g in enumerate(large):
+            found[g["r"]] = [found[g["r"]][0] - g["n"], found[g["r"]][1] - g["size"]]
+            code[g["h"]] = (i + 1) << 16
+            cuts[g["h"]] = 1 + int(share(g["n"], g["size"]) / PART) if g["size"] * shards > total else 1
+            parted[g["h"]] = max(base, -(-g["size"] // (cuts[g["h"]] * TASK_BYTES)), -(-g["n"] // (cuts[g["h"]] * TASK_ROWS)))
+        rest = {r: 1 + int(share(*found[r]) / PART) for r in over if share(*found[r]) > OVERFULL}
+        alike = keys.where(F.col("h").isin(list(code))).groupBy("h", "key").agg(*sums).where((F.col("n") > 1) & ((F.col("size") > most * total) | (F.col("n") > most * n)))
+        if code and not alike.isEmpty():
             df = saved(df.withColumn(number, F.monotonically_increasing_id()))
-        cuts = F.create_map(*[F.lit(x) for p in split.items() for x in p])
-        within = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), number, F.lit("piece")), F.coalesce(cuts[range_of(F.col(h), points)], F.lit(1)).cast("long"))
+        told = lambda d, of: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))[of].cast("long") if d else F.lit(None).cast("long")
+        own = told(code, F.col(h)) + F.pmod(F.xxhash64(text_key, number, F.lit("piece")), told(cuts, F.col(h)))
+        left = F.pmod(F.xxhash64(h, F.lit("piece")), told(rest, range_of(F.col(h), points)))
+        among = range_of(F.col(h), points).isin(over)
+        within = F.when(among, F.coalesce(own, left, F.lit(0).cast("long"))).otherwise(within)
+        many = F.when(among, F.coalesce(told(parted, F.col(h)), F.lit(base))).otherwise(many)
     df = df.withColumn(piece, range_of(F.col(h), points) * F.lit(1 << 32) + within)
-    parts = max(1, -(-total // (ranges * TASK_BYTES)), -(-n // (ranges * TASK_ROWS)))
-    df = df.withColumn(part, F.pmod(F.xxhash64(h, F.col(f"`{key}`").cast("string"), number, F.lit("part")), F.lit(parts)))
+    df = df.withColumn(part, F.pmod(F.xxhash64(h, text_key, number, F.lit("part")), many))
     counts = df.groupBy(piece, part).agg(F.count("*").alias("n"), F.sum(size).alias("size"))
     heap, dealt = [(0, k) for k in range(shards)], {}
     for p in sorted(counts.groupBy(piece).agg(F.sum("size").alias("s")).collect(), key=lambda r: (-r["s"], r[piece])):

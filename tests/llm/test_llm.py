@@ -98,12 +98,29 @@ def brute_shards(rows, shards, ranges):
     of_range = defaultdict(list)
     for k, h, s in items:
         of_range[bisect.bisect_left(points, h)].append((h, k, s))
-    pieces = defaultdict(list)
+    pieces, large = defaultdict(list), {}
     for r, held in of_range.items():
-        x = max(sum(s for *_, s in held) / total, len(held) / n) * ranges
-        for h, k, s in held:
-            cut = 1 + int(x / sharding.PART) if x > sharding.OVERFULL else 1
-            pieces[r << 32 | (spark_hash(k, 0, "piece") % cut if cut > 1 else 0)].append((h, k, s))
+        share = lambda held: max(sum(s for *_, s in held) / total, len(held) / n) * ranges
+        if share(held) > sharding.OVERFULL:
+            groups = defaultdict(list)
+            for x in held:
+                groups[x[0]].append(x)
+            for h, group in groups.items():
+                if share(group) > sharding.PART:
+                    large[h] = (r, group)
+            held = [x for x in held if x[0] not in large]
+            if share(held) > sharding.OVERFULL:
+                cut = 1 + int(share(held) / sharding.PART)
+                for h, k, s in held:
+                    pieces[r << 32 | spark_hash(h, "piece") % cut].append((h, k, s))
+                continue
+        pieces[r << 32] += held
+    for i, (_, (r, group)) in enumerate(sorted(large.items())):
+        size = sum(s for *_, s in group)
+        cut = 1 + int(max(size / total, len(group) / n) * ranges / sharding.PART) if size * shards > total else 1
+        for h, k, s in group:
+            pieces[(r << 32) + ((i + 1) << 16) + spark_hash(k, 0, "piece") % cut].append((h, k, s))
+    pieces = {p: held for p, held in pieces.items() if held}
     sums, out, slots = [0] * shards, {}, defaultdict(list)
     for p, held in sorted(pieces.items(), key=lambda x: (-sum(s for *_, s in x[1]), x[0])):
         k = min(range(shards), key=lambda i: (sums[i], i))
@@ -114,6 +131,24 @@ def brute_shards(rows, shards, ranges):
     return out
 
 
+@pytest.mark.parametrize("copies", [5, 10, 40])
+def test_equal_texts_that_fit_a_shard_stay_in_one(spark, copies):
+    """Groups of a few hundredths of all rows or bytes, in few rows, fit; so do groups of many short texts."""
+    rows = [*((i, f"text {i}") for i in range(1000)), *((2000 + i, "one text") for i in range(copies)), *((3000 + i, "long " * 10) for i in range(copies // 5))]
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 24).toPandas()
+    assert (out.groupby("text").shard.nunique() == 1).all()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == 24 and sizes.max() < 1.05 * sizes.mean()
+
+
+def test_equal_texts_of_the_given_table_stay_in_one(spark):
+    out = queries.op1_sharding(spark, "/root/testdata/sf0.01").select("doc_id", "shard", "text_crc32", "size").toPandas()
+    share = out["size"].sum() / 24
+    groups = out.groupby(["text_crc32", "size"]).agg(shards=("shard", "nunique"), n=("doc_id", "count"))
+    whole = groups.reset_index()
+    assert (whole[whole["size"] * whole["n"] <= share].shards == 1).all() and (whole.n > 1).any()
+
+
 def test_shards_against_brute_force(spark, given):
     rows = [*enumerate(given.values()), *((1000 + i, "copy of one text " * 9) for i in range(150)), (2000, None), (2001, ""), (2002, "é" * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
