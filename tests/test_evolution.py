@@ -34,7 +34,7 @@ def test_a_checkpoint_from_before_a_sum_was_added(spark, tmp_path, k):
     job, key, want = JOBS[k]
     (src := tmp_path / "in").mkdir()
     before = {n: spark.conf.get(n, None) for n in ("spark.sql.streaming.stateStore.encodingFormat",)}
-    stateful.configure(spark)
+    stateful.configure(spark, evolving=True)
     got = {}
 
     def run(more):
