@@ -34,7 +34,7 @@ URL_RULES = [
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules' verdicts are the labels from which the templates of other pages are judged."""
     judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
