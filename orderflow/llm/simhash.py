@@ -26,9 +26,11 @@ leaf small, which grow with the logarithm of the rows, and as many blocks as fin
 ``RECALL`` of the pairs at the least similarity, and more of all above it, at every size.
 In a leaf all pairs are compared: candidates differ in at most ``WITHIN`` of 256 bits,
 which one pair in 10,000 at the least similarity exceeds, and their sizes must allow that
-Jaccard. A forest of the candidates tells only the clusters. In each cluster the whole
-shingle sets of all pairs are compared, in blocks of bounded size, so no pair hangs on a
-link that is rejected.
+Jaccard. A forest of the candidates tells only the clusters. In each cluster whole
+shingle sets are compared, in blocks of bounded size, so no pair hangs on a link that is
+rejected: all pairs in a cluster of one block; in a larger one all sets with one block,
+and then all pairs but those within the largest component found so far and those too
+different in size. What is left out can't change a component.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other (an
 empty shingle set only equals itself); repeated rows belong to the same component; a null
@@ -45,7 +47,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +62,8 @@ RECALL, SET_BITS, SET_LEAF = 0.975, 12, 512
 WORDS, WITHIN, HALF = 4, 60, 40
 #: Sets and hashes wanted in a block of a cluster; a task compares two blocks.
 SETS, HASHES = 512, 1 << 20
+#: Sizes of one band: a bit more than a link may differ by, so that rounding can't part linked sets by two bands.
+BAND = 1.01 * SIMILAR[1] / SIMILAR[0]
 #: Fingerprints sampled to place the trees' nodes: SAMPLE at least, one in SAMPLE_SHARE, MOST at most.
 SAMPLE, SAMPLE_SHARE, MOST = 1 << 14, 1000, 1 << 20
 #: Fingerprints wanted in a leaf, and of a task's own and in all.
@@ -455,13 +459,52 @@ def confirmed(clusters: DataFrame, nodes: DataFrame, df: DataFrame, key: str, te
     likely = may_be_in(given, F.col("key"), keys, F.col("least_key"), "likely").where("likely")
     texts = likely.join(keys, F.col("key").eqNullSafe(F.col("least_key")), "left_semi").select("text")
     texts = texts.mapInArrow(read, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+    large = saved(large)
     placed = wanted.join(few(large), "component", "left").withColumn("b", F.coalesce("b", F.lit(1)))
-    placed = placed.select("component", "node", "b", F.pmod(F.xxhash64("node"), F.col("b")).cast("int").alias("mine"))
-    pairs = texts.join(placed, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    pairs = pairs.select("component", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "text")
+    placed = placed.select("component", "node", "size", "b", F.pmod(F.xxhash64("node"), F.col("b")).cast("long").alias("mine"))
+    rows = texts.join(placed, "node")
+    if large.isEmpty():
+        return compared(rows, F.col("mine"))
+    rows = saved(rows)
+    small, big = rows.where("b = 1"), rows.where("b > 1")
+    # Every set of a large cluster meets those of its first block.
+    meets = big.withColumn("k", F.explode(F.when(F.col("mine") == 0, F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    first = saved(compared(meets, F.col("k")))
+    return compared(small, F.col("mine")).unionByName(first).unionByName(compared(*others(big.where("mine > 0"), components(first))))
+
+
+def compared(rows: DataFrame, other: Column) -> DataFrame:
+    """The linked pairs (a, b) of the blocks ``mine`` and ``other`` of each component."""
+    pairs = rows.select("component", F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j"), "mine", "node", "text")
     return pairs.groupBy("component", "i", "j").applyInArrow(similar, "a long, b long")
 
 
+def others(big: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows of large clusters for the pairs that are still open, and the block each is to meet.
+
+    ``found`` has the components so far. Sets of a cluster's largest component needn't meet
+    one another, nor do sets whose sizes alone rule a link out: sizes come in bands
+    so wide that a link never skips one. So a cluster that is one component costs no more
+    than its rows, one with few others their number times its rows.
+    """
+    found = found.select("node", F.col("component").alias("part"))
+    big = saved(big.join(found, "node", "left").select("component", "node", "size", "text", F.coalesce("part", "node").alias("part")))
+    parts = big.groupBy("component", "part").agg(F.count("*").alias("n"))
+    main = few(parts.groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("main")))
+    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / math.log(BAND))
+    # A cell is a band of the largest component (odd) or of all others (even).
+    celled = big.join(main, "component").withColumn("cell", 2 * band + (F.col("part") == F.col("main")).cast("long"))
+    blocks = F.ceil(F.greatest(F.count("*") / SETS, F.sum("size") / HASHES))
+    cells = few(celled.groupBy("component", "cell").agg(blocks.alias("c")))
+    number = lambda cell, block: F.shiftleft(cell, 32) + block
+    mine = celled.join(cells, ["component", "cell"]).withColumn("mine", number(F.col("cell"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("c")))).drop("c")
+    odd = F.col("cell") % 2
+    evens = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.col("cell") - odd + 2 * d)
+    to = F.when(odd == 1, evens).otherwise(F.concat(evens, F.transform(evens, lambda c: c + 1)))
+    met = mine.withColumn("to", F.explode(to)).join(cells.withColumnRenamed("cell", "to"), ["component", "to"])
+    return met.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))), number(F.col("to"), F.col("k"))
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """key, ``fp`` and ``component_id`` (the least key reachable over links) of each row."""
     prints = saved(fingerprints(df, key, text, shingle))

@@ -740,6 +740,49 @@ def test_dense_groups_lose_no_link(spark, monkeypatch, small):
     assert {r["doc_id"]: r["component_id"] for r in out} == brute_similar(texts)[0]
 
 
+def one_cluster(spark, texts):
+    """``texts`` as the arguments of ``confirmed``, all in one cluster; their nodes."""
+    sets = [simhash.shingles(t) for t in texts]
+    nodes = [simhash.named(x) for x in sets]
+    df = docs(spark, texts)
+    rows = [(i, n, len(x)) for i, (n, x) in enumerate(zip(nodes, sets))]
+    known = spark.createDataFrame(rows, "least long, node long, size long").groupBy("node").agg(F.min("least").alias("least"), F.first("size").alias("size"))
+    least = min(nodes)
+    clusters = known.select("node", F.lit(least).alias("component")).where(F.col("node") != least)
+    return (clusters, known, df, "doc_id", "text"), nodes
+
+
+def test_large_clusters_keep_every_component(spark, monkeypatch):
+    """One cluster of dense groups, of chains, of lone texts and of sizes far apart, in blocks of a few sets, against all pairs."""
+    monkeypatch.setattr(simhash, "SETS", 6)
+    monkeypatch.setattr(simhash, "HASHES", 2000)
+    rng, texts = random.Random(9), []
+    for length in (15, 60, 120, 121, 300):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(length))
+        texts += [text, *(edited(rng, text, rng.choice((0.01, 0.02, 0.04, 0.08))) for _ in range(12))]
+        words = text.split()
+        texts += [" ".join(words[: length - k]) for k in range(0, length // 2, 9)]  # a chain of ever shorter texts
+    texts += texts[:5] + ["x y z", "u v w x y z"]
+    args, nodes = one_cluster(spark, texts)
+    out = {r["node"]: r["component"] for r in simhash.components(simhash.confirmed(*args)).collect()}
+    got, want = defaultdict(set), defaultdict(set)
+    for i, c in brute_similar(texts)[0].items():
+        got[out.get(nodes[i], nodes[i])].add(i)
+        want[c].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_a_large_cluster_that_is_one_component_costs_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", 10)
+    rng, met, compared = random.Random(10), [], simhash.compared
+    monkeypatch.setattr(simhash, "compared", lambda rows, other: met.append(rows.count()) or compared(rows, other))
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    texts = [edited(rng, text, 0.01) for _ in range(400)]
+    lone = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200))]
+    simhash.confirmed(*one_cluster(spark, texts + lone)[0]).collect()
+    assert sum(met) < 4 * len(texts)  # all pairs of blocks: 40 times
+
+
 def test_fingerprints_of_sets_by_plain_loops():
     rng, blocks, bits = random.Random(3), *simhash.layout(10**6)
     sets = [sorted(rng.getrandbits(64) for _ in range(n)) for n in (1, 2, 7, 300)]
