@@ -91,6 +91,42 @@ def test_old_versions_are_dropped(spark, tmp_path, changing):
     assert counts == {"P0": 1, "P1": 1, "P2": 1}
 
 
+def test_orders_wait_in_pieces(spark, tmp_path):
+    """P0 has more orders of one time than a piece holds, P1 many times; the stream ends within a piece and goes on from its checkpoint."""
+    rows = [order(f"a{i:05}", T0 + 10_000 * (i % 3), product_id="P0") for i in range(3 * versions.PIECE + 3000)]
+    rows += [order(f"b{i:05}", T0 + 30 * i, product_id="P1") for i in range(600)]
+    random.Random(3).shuffle(rows)
+    later = [order("c", T0 + 30_000, product_id="P0"), order("d", T0 + 30_000, product_id="P2")]
+    first = [version(f"P{i}", f"A{i}", 0) for i in range(50)]
+    told = [version("P0", "B", T0 + 10_000), version("P1", "C", T0 + 9000), version("P1", "D", T0 + 12_000)]
+    (src := tmp_path / "orders").mkdir(), (dim := tmp_path / "changes").mkdir()
+    files(src, rows)
+    files(dim, [as_json(v) for v in told])
+    initial = spark.createDataFrame(first, VERSIONED)
+
+    def go():
+        live = versions.join_versions(p.accepted(p.parse_orders(stream(spark, src))), changes_of(spark, dim), initial)
+        live.select("orderID", "productType").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+
+    def held(name):
+        counts = defaultdict(int)
+        for r in spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "ck")).select("key").collect():
+            counts[r["key"]["key"]] += 1
+        return counts
+
+    go()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == versions.PIECE + 1000 + 167  # to T0 + 5000
+    pieces = held("waiting")
+    assert pieces["P1"] == 1 and pieces["P0"] <= 6 and set(held("versions")) == {"P0", "P1"}
+    for i, x in enumerate([later, [order(999, FAR, product_id="P9")]]):
+        (src / f"later{i}.json").write_text("".join(json.dumps(r) + "\n" for r in x))
+    go()
+    got = {r[0]: r[1] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = enrich.join_product_versions(orders_of(raw(spark, *rows, *later)), spark.createDataFrame(first + told, VERSIONED))
+    assert got == {r["orderID"]: r["productType"] for r in want.collect()}
+    assert set(got.values()) == {"A0", "A1", "A2", "B", "C", "D"} and held("waiting") == {"P9": 1}
+
+
 def test_versions_with_gaps_and_nulls(spark):
     rows = [("P0", "A", "D", None, None, None, 100), ("P0", "B", "D", "E", "T", 2, 200), (None, "X", "D", "E", "T", 1, 0), ("P1", "Y", "D", "E", "T", 1, None)]
     found = enrich.join_product_versions(orders_of(raw(spark, *(order(i, ct, product_id=f"P{i % 2}") for i, ct in enumerate([99, 99, 100, 100, 199, 0, 200, 5])))), spark.createDataFrame(rows, VERSIONED))
